@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaystat.llm import bpe, quality
+from quaystat.llm import bpe, near_dup, quality
 from quaystat.llm.common import table
 
 
@@ -12,9 +12,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *bpe.vocabulary())
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {"op7_quality_rules": quality.oracle_sql()}
