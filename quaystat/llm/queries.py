@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaystat.llm import bpe, near_dup, quality
+from quaystat.llm import bpe, near_dup, quality, token_codes
 from quaystat.llm.common import table
 
 
+def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_codes.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -20,5 +27,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *bpe.vocabulary())
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe}
+QUERIES = {"op1_token_codes": op1_token_codes, "op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe}
 ORACLES: dict[str, str] = {"op7_quality_rules": quality.oracle_sql()}
