@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaystat.llm import bpe, near_dup, quality, token_codes
+from quaystat.llm import bpe, decontaminate, near_dup, quality, token_codes
 from quaystat.llm.common import table
 
 
@@ -27,5 +27,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), *bpe.vocabulary())
 
 
-QUERIES = {"op1_token_codes": op1_token_codes, "op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_token_codes": op1_token_codes, "op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {"op7_quality_rules": quality.oracle_sql()}
