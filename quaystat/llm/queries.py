@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystat.llm import bpe, decontaminate, near_dup, quality, substring_dedup, token_codes
+from quaystat.llm import bpe, decontaminate, near_dup, quality, secrets, substring_dedup, token_codes
 from quaystat.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,5 +41,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_token_codes": op1_token_codes, "op6_substring_dedup": op6_substring_dedup, "op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {"op7_quality_rules": quality.oracle_sql()}
+QUERIES = {"op1_token_codes": op1_token_codes, "op5_secrets": op5_secrets, "op6_substring_dedup": op6_substring_dedup, "op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe, "op10_decontaminate": op10_decontaminate}
+ORACLES: dict[str, str] = {"op5_secrets": secrets.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
