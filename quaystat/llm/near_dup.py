@@ -22,7 +22,7 @@ from quaystat.llm.words import Words, chunks, mix, ranges
 
 SHINGLE = 5
 #: Sub-keys in each of the two collections, and MinHash values in each sub-key.
-SIDE, ROWS = 8, 3
+SIDE, ROWS = 12, 3
 #: Sets that are compared in one task; larger groups go as pairs of blocks to several tasks.
 BLOCK = 1024
 _U = np.uint64
