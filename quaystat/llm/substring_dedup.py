@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,7 +24,9 @@ from quaystat.llm.words import Words, chunks, ranges
 
 WINDOW, M = 13, 3
 #: Bytes of text for each bucket; the number of buckets follows from the size of the input.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
+#: Characters of text that are dealt out together.
+BATCH_CHARS = 4 << 20
 
 _ROW = "kind int, batch long, head int, doc long, tag int, lo int, hi int, mins array<long>"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("head", pa.int32()), ("doc", pa.int64()), ("tag", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("mins", pa.list_(pa.int64()))])
@@ -125,19 +128,31 @@ def _bucket(blobs: list[tuple[int, bytes]], window: int) -> Iterator[pa.Table]:
     parts = [(batch, *_unpack(x, np.int32, np.int64, np.int32, np.int32, np.uint8, bytes)) for batch, x in blobs]
     batch = np.concatenate([np.full(len(x[1]), x[0], np.int64) for x in parts])
     head, doc, tag, pos, repeated = (np.concatenate([x[k] for x in parts]) for k in range(1, 6))
-    w = Words([s for x in parts for s in x[6].split(b"\n")])
+    strings = [s for x in parts for s in x[6].split(b"\n")]
     del parts
-    n = w.counts - window + 1
-    at = ranges(w.first[:-1], n)
+    counts, hashes, begins, ends = [], [], [], []
+    step = 1 << 14  # strings that are hashed together
+    for lo in range(0, len(strings), step):
+        w = Words(strings[lo : lo + step])
+        counts.append(w.counts - window + 1)
+        at = ranges(w.first[:-1], counts[-1])
+        hashes.append(w.runs(at, window))
+        own = np.repeat(w.starts[w.first[:-1]], counts[-1])
+        begins.append((w.starts[at] - own).astype(np.int32))
+        ends.append((w.ends[at + window - 1] - own).astype(np.int32))
+    n, h, begin, end = (np.concatenate(x) for x in (counts, hashes, begins, ends))
     start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    h, owner = w.runs(at, window), np.repeat(doc, n)
+    owner, which = np.repeat(doc, n), np.repeat(np.arange(len(n)), n)
     order = np.lexsort((owner, h))
     same = h[order][1:] == h[order][:-1]
     group = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     low = owner.copy()
     seen: dict[bytes, int] = {}
-    for i, s in zip(order[group].tolist(), at[order[group]].tolist()):
-        low[i] = seen.setdefault(w.text(s, s + window), owner[i])  # by document, so the first is the smallest
+    twice = order[group]
+    for lo in range(0, len(twice), 1 << 16):
+        i = twice[lo : lo + (1 << 16)]
+        words = [strings[s][a:b] for s, a, b in zip(which[i].tolist(), begin[i].tolist(), end[i].tolist())]
+        low[i] = [seen.setdefault(x, d) for x, d in zip(words, owner[i].tolist())]  # by document, so the first is the smallest
     row, lo, hi = _spans(low < owner, start, pos, n, window)
     k = len(row)
     none = pa.nulls(k, pa.list_(pa.int64()))
@@ -163,11 +178,16 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for k, b in enumerate(batches):
-            batch = task << 24 | k
-            out = list(_dealt(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), batch, buckets, window, m))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([batch] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["key", "batch", "blob"])
+        batch = task << 24
+        for b in batches:
+            doc, tag, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            chars = np.cumsum(pc.utf8_length(texts).to_numpy())
+            cut = [0, *(np.flatnonzero(np.diff(chars // BATCH_CHARS)) + 1).tolist(), len(chars)]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                out = list(_dealt(doc[lo:hi], tag[lo:hi], texts.slice(lo, hi - lo).to_pylist(), batch, buckets, window, m))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([batch] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["key", "batch", "blob"])
+                batch += 1
 
     def meet(group: pa.Table) -> pa.Table:
         if group["key"][0].as_py() >= 0:
