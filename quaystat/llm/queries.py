@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystat.llm import bpe, decontaminate, lattice_lm, line_dedup, near_dup, quality, secrets, substring_dedup, token_codes
+from quaystat.llm import bpe, decontaminate, html_text, lattice_lm, line_dedup, near_dup, quality, secrets, substring_dedup, token_codes
 from quaystat.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), lattice_lm.vocabulary())
 
@@ -49,5 +53,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_token_codes": op1_token_codes, "op3_lattice_lm": op3_lattice_lm, "op4_line_dedup": op4_line_dedup, "op5_secrets": op5_secrets, "op6_substring_dedup": op6_substring_dedup, "op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_token_codes": op1_token_codes, "op2_html_text": op2_html_text, "op3_lattice_lm": op3_lattice_lm, "op4_line_dedup": op4_line_dedup, "op5_secrets": op5_secrets, "op6_substring_dedup": op6_substring_dedup, "op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {"op5_secrets": secrets.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
