@@ -19,14 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaystat.llm.bitfilter import bits
 from quaystat.llm.common import ship, written
 from quaystat.llm.words import Words, chunks, ranges
 
 WINDOW, M = 13, 3
 #: Bytes of text for each bucket; the number of buckets follows from the size of the input.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 #: Characters of text that are dealt out together.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 
 _ROW = "kind int, batch long, head int, doc long, tag int, lo int, hi int, mins array<long>"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("head", pa.int32()), ("doc", pa.int64()), ("tag", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("mins", pa.list_(pa.int64()))])
@@ -131,7 +132,7 @@ def _bucket(blobs: list[tuple[int, bytes]], window: int) -> Iterator[pa.Table]:
     strings = [s for x in parts for s in x[6].split(b"\n")]
     del parts
     counts, hashes, begins, ends = [], [], [], []
-    step = 1 << 14  # strings that are hashed together
+    step = 1 << 12  # strings that are hashed together
     for lo in range(0, len(strings), step):
         w = Words(strings[lo : lo + step])
         counts.append(w.counts - window + 1)
@@ -217,8 +218,12 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other, repeated rows give equal results. Very long texts are read whole.
     """
     spans = removed_spans(df, id_col, text_col, window, m)
+    spans = written(spans.select(F.col("doc").alias("d"), F.col("tag").alias("t"), F.transform("spans", lambda s: s["lo"]).alias("lo"), F.transform("spans", lambda s: s["hi"]).alias("hi")), "word-spans")
     docs = _tagged(df, id_col, text_col)
-    got = docs.join(spans.withColumnsRenamed({"doc": "d", "tag": "t"}), (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")), "left").select("doc", "text", F.transform("spans", lambda s: s["lo"]).alias("lo"), F.transform("spans", lambda s: s["hi"]).alias("hi"))
+    may = F.coalesce(bits(spans, "d")(F.col("doc")), F.lit(False))  # texts that lose nothing stay where they are
+    got = docs.filter(may).join(spans, (F.col("doc") == F.col("d")) & (F.col("tag") == F.col("t")), "left").select("doc", "text", "lo", "hi")
+    none = F.lit(None).cast("array<int>")
+    got = got.unionByName(docs.filter(~may).select("doc", "text", none.alias("lo"), none.alias("hi")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are turned into arrays together; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _U = np.uint64
 _TABLE = np.random.default_rng(20_240_601).integers(0, 2**64, 256, dtype=_U, endpoint=False)
 _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd multipliers
