@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
@@ -25,7 +26,7 @@ from quaystat.llm.common import new_path, ship
 #: A segment is closed when it has so many tokens; one document is never split.
 SEGMENT_TOKENS = 1 << 19
 #: Words kept per worker with their ids; emptied when full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 MARKS = b".,;:!?|"
 BLOCK_BITS = 512
 
@@ -84,32 +85,34 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         words = [t.encode().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        if len(self.cores) > CACHE_WORDS:
-            self.cores.clear()
         new = list(set().union(*words).difference(self.known))
         # A word's last marks are tokens of their own, and the tokenizer lower-cases: so fewer words are new.
-        cores = {w: w.lower().rstrip(MARKS) for w in new}
-        fresh = list({*cores.values(), *(w[len(c) :] for w, c in cores.items() if len(c) < len(w))}.difference(self.cores))
+        known, marked, fresh = self.known, [], set()
+        for w in new:
+            c = w.lower().rstrip(MARKS)
+            if c != w:
+                marked.append((w, c))
+                if len(c) < len(w) and w[len(c) :] not in known:
+                    fresh.add(w[len(c) :])
+            if c not in known:
+                fresh.add(c)
+        fresh = list(fresh)
         for lo in range(0, len(fresh), 20_000):
             part = fresh[lo : lo + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                self.cores[c] = np.array(e.ids, "<u4").tobytes()
-        for w, c in cores.items():
-            self.known[w] = self.cores[c] + self.cores[w[len(c) :]] if len(c) < len(w) else self.cores[c]
+                known[c] = array("I", e.ids).tobytes()
+        for w, c in marked:
+            known[w] = known[c] + known[w[len(c) :]] if len(c) < len(w) else known[c]
         out = [b"".join(map(self.known.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > 64:
-                del self.known[w]
-        for w in fresh:
+        for w in {*new, *fresh}:
             if len(w) > 64:
-                del self.cores[w]
+                self.known.pop(w, None)
         return out
 
 
