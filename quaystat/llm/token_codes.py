@@ -92,10 +92,11 @@ class WordCoder:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         new = list(set().union(*words).difference(self.known))
-        # A word's last marks are tokens of their own, and the tokenizer lower-cases: so fewer words are new.
+        # Marks after a last letter or digit are tokens of their own, and the tokenizer lower-cases: so fewer words are new.
         known, marked, fresh = self.known, [], set()
         for w in new:
-            c = w.lower().rstrip(MARKS)
+            c = w.rstrip(MARKS)
+            c = (c if c[-1:].isalnum() or c and c.decode()[-1].isalpha() else w).lower()
             if c != w:
                 marked.append((w, c))
                 if len(c) < len(w) and w[len(c) :] not in known:
