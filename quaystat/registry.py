@@ -1,4 +1,7 @@
 """All queries of the library by name, with their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quaystat.operators import pipeline
+from quaystat.plans import queries as plans
+
+QUERIES: dict = {**plans.QUERIES, **pipeline.QUERIES}
+ORACLES: dict = {**plans.SQL, **pipeline.ORACLES}
