@@ -1,7 +1,7 @@
 """All queries of the library by name, with their oracles."""
 
-from quaystat.operators import pipeline
+from quaystat.operators import pipeline, search, semantic
 from quaystat.plans import queries as plans
 
-QUERIES: dict = {**plans.QUERIES, **pipeline.QUERIES}
-ORACLES: dict = {**plans.SQL, **pipeline.ORACLES}
+QUERIES: dict = {**plans.QUERIES, **pipeline.QUERIES, **semantic.QUERIES, **search.QUERIES}
+ORACLES: dict = {**plans.SQL, **pipeline.ORACLES, **semantic.ORACLES, **search.ORACLES}
