@@ -119,7 +119,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[tuple[str, str, float], ...] = RULES) -> DataFrame:
     """The rows that the rules keep, with all their columns as they were."""
     out = _measured(df.select(F.struct(*(df[c] for c in df.columns)).alias("__row"), df[text_col].alias("__in")), "__row")
-    return out.filter(~F.col("base_failed") & verdict(rules)).select("__row.*")
+    # Not a filter: Catalyst would push it below the layers and compute each of them again wherever it is used.
+    return out.select(F.explode(F.when(~F.col("base_failed") & verdict(rules), F.array("__row"))).alias("__row")).select("__row.*")
 
 
 def oracle_sql() -> str:
