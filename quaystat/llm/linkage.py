@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from quaystat.llm.common import written
 
 MAX_ROUNDS = 60
+#: A node with more than one in HOT of all edges, and with more than FEW of them, gets its minimum by broadcast:
+#: at most HOT rows. Its edges stay where they are instead of meeting in one task.
+HOT, FEW = 512, 200
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -18,11 +21,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     repeated and reversed edges do no harm.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, bound: int) -> DataFrame:
         """Every node's neighbours are tied to the smallest of them (or the node itself)."""
         e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        got = e.join(low, "a")
+        low = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c"))
+        hot = F.broadcast(low.filter(F.col("c") > bound).select("a", F.col("m").alias("hot")))
+        near = e.join(hot, "a", "left")
+        got = near.filter("hot is null").select("a", "b").join(low.filter(F.col("c") <= bound).select("a", "m"), "a")
+        got = got.unionByName(near.filter("hot is not null").select("a", "b", F.col("hot").alias("m")))
         if large:
             got = got.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -37,7 +43,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        e = written(star(star(e, True), False), name)
+        bound = max(FEW, 2 * before[0] // HOT)
+        e = written(star(written(star(e, True, bound), name), False, bound), name)
         now = state(e)
         if now == before:
             break
