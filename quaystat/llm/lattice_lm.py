@@ -27,14 +27,21 @@ from quaystat.llm.common import ship, written
 
 MARK = "▁"
 RANK_SHIFT = 50.0
-#: Frequent words on which the first steps of the estimation run, on the driver.
-WARM_WORDS, WARM_STEPS = 30_000, 4
+#: Steps of the estimation, each over all training words.
+STEPS = 2
+#: Characters of a word whose expectations are computed with plain probabilities, where those do not underflow.
+PLAIN_CHARS = 64
 BROADCAST_WORDS = 300_000
 #: Added to every piece's expected count.
 PRIOR = 0.1
 _LOG10 = math.log(10)
 
 
+def _add(into: dict[str, float], piece: str | tuple[str, ...], c: float) -> None:
+    for x in (piece,) if isinstance(piece, str) else piece:
+        into[x] = into.get(x, 0.0) + c
+
+
 class Lattice:
     """Pieces with log weights; END stands for the end of a document."""
 
@@ -42,7 +49,9 @@ class Lattice:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.longest = max(map(len, weights), default=1)
+        #: Every piece with its weight, and every beginning of one (None): a search goes on as long as it is here.
+        self.table: dict[str, float | None] = {p[:k]: None for p in weights for k in range(1, len(p))}
+        self.table.update(weights)
 
     @classmethod
     def from_vocabulary(cls, path: str) -> Lattice:
@@ -61,16 +70,19 @@ class Lattice:
 
     def arcs(self, s: str) -> list[list[tuple[int, float, object]]]:
         """For each place the arcs that end there: (begin, log weight, piece or tuple of byte pieces)."""
-        get, n = self.weights.get, len(s)
+        table, n = self.table, len(s)
         out: list[list[tuple[int, float, object]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             if s[i] not in self.weights:
                 raw = tuple(f"<0x{b:02X}>" for b in s[i].encode("utf-8", "surrogatepass"))
-                out[i + 1].append((i, sum(get(b, -50.0) for b in raw), raw))
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                w = get(s[i:j])
+                out[i + 1].append((i, sum(self.weights.get(b, -50.0) for b in raw), raw))
+            for j in range(i + 1, n + 1):
+                p = s[i:j]
+                if p not in table:
+                    break
+                w = table[p]
                 if w is not None:
-                    out[j].append((i, w, s[i:j]))
+                    out[j].append((i, w, p))
         return out
 
     def forward(self, arcs: list[list[tuple[int, float, object]]]) -> list[float]:
@@ -91,21 +103,29 @@ class Lattice:
     def expect(self, word: str, count: float, into: dict[str, float]) -> None:
         """Adds count times the expected number of each piece in the word."""
         arcs = self.arcs(MARK + word)
+        n, exp = len(arcs) - 1, math.exp
+        if n <= PLAIN_CHARS:
+            a = [1.0]
+            for into_j in arcs[1:]:
+                a.append(sum([a[i] * exp(w) for i, w, _ in into_j]))
+            if a[n] > 1e-250:
+                b = [0.0] * n + [count / a[n]]
+                for j in range(n, 0, -1):
+                    if b[j]:
+                        for i, w, p in arcs[j]:
+                            t = b[j] * exp(w)
+                            b[i] += t
+                            _add(into, p, a[i] * t)
+                return
         a = self.forward(arcs)
-        n = len(arcs) - 1
         b = [-math.inf] * n + [0.0]
         for j in range(n, 0, -1):
             if b[j] == -math.inf:
                 continue
             for i, w, p in arcs[j]:
                 t = b[j] + w
-                b[i] = t if b[i] == -math.inf else max(b[i], t) + math.log1p(math.exp(-abs(b[i] - t)))
-                c = count * math.exp(a[i] + t - a[n])
-                if isinstance(p, str):
-                    into[p] = into.get(p, 0.0) + c
-                else:
-                    for x in p:
-                        into[x] = into.get(x, 0.0) + c
+                b[i] = t if b[i] == -math.inf else max(b[i], t) + math.log1p(exp(-abs(b[i] - t)))
+                _add(into, p, count * exp(a[i] + t - a[n]))
 
     def reweighted(self, expected: dict[str, float]) -> Lattice:
         total = math.log(sum(expected.get(p, 0.0) for p in self.weights) + PRIOR * len(self.weights))
@@ -147,36 +167,31 @@ def word_counts(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(words: DataFrame, docs: int, path: str) -> Lattice:
-    """Estimates the weights: first steps on the most frequent words, the last one on all training words.
+def fit(words: DataFrame, docs: int, path: str, steps: int = STEPS) -> Lattice:
+    """Estimates the weights by expectation-maximisation, each step over all training words.
 
-    words: (word, c); docs: number of training documents. Of the words a fixed number comes to the driver,
-    of the last step one sum for each piece and partition, added up by Spark.
+    words: (word, c); docs: number of training documents. Of a step one sum for each piece and partition leaves the
+    executors, added up by Spark: no more rows than the vocabulary has pieces reach the driver.
     """
     model = Lattice.from_vocabulary(path)
     trained = words.filter("c > 0")
-    top = trained.orderBy(F.desc("c"), "word").limit(WARM_WORDS).toArrow()
-    top_words = [w.decode("utf-8", "surrogatepass") for w in top["word"].to_pylist()]
-    counts = top["c"].to_pylist()
-    share = docs * sum(counts) / max(1, words.agg(F.sum("c")).first()[0] or 0)
-    for _ in range(WARM_STEPS if counts else 0):
-        expected: dict[str, float] = {Lattice.END: float(share)}
-        for w, c in zip(top_words, counts):
-            model.expect(w, c, expected)
+    for _ in range(steps):
+        sent = words.sparkSession.sparkContext.broadcast(model.weights)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own, sums = Lattice(sent.value), {}
+            for b in batches:
+                for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    own.expect(w.decode("utf-8", "surrogatepass"), c, sums)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], ["piece", "n"])
+
+        rows = trained.mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        expected = dict(zip(rows["piece"].to_pylist(), rows["n"].to_pylist()))
+        if not expected:
+            break
+        expected[Lattice.END] = float(docs)
         model = model.reweighted(expected)
-    sent = words.sparkSession.sparkContext.broadcast(model.weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = Lattice(sent.value), {}
-        for b in batches:
-            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own.expect(w.decode("utf-8", "surrogatepass"), c, sums)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], ["piece", "n"])
-
-    rows = trained.mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-    expected = dict(zip(rows["piece"].to_pylist(), rows["n"].to_pylist()))
-    expected[Lattice.END] = float(docs)
-    return model.reweighted(expected)
+    return model
 
 
 def score(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,7 +113,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     keep their row; ties do not arise. Other columns are not read, whatever their names.
     """
     out = _measured(df.select(df[id_col].alias("__id"), df[text_col].alias("__in")), "__id")
-    return out.select(F.col("__id").alias(id_col), *out.columns[1:], (~F.col("base_failed") & verdict(rules)).alias("kept"))
+    row = F.struct(F.col("__id").alias(id_col), *out.columns[1:], (~F.col("base_failed") & verdict(rules)).alias("kept"))
+    # A barrier: Catalyst would push a later filter below the layers and compute each of them again wherever it is used.
+    return out.select(F.explode(F.array(row)).alias("__row")).select("__row.*")
 
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[tuple[str, str, float], ...] = RULES) -> DataFrame:

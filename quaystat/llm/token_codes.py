@@ -28,7 +28,11 @@ SEGMENT_TOKENS = 1 << 19
 #: Words kept per worker with their ids; emptied when full.
 CACHE_WORDS = 800_000
 MARKS = b".,;:!?|"
+#: Every special token begins so.
+SPECIAL = b"<|"
 BLOCK_BITS = 512
+#: Places that go to a segment in one list.
+LIST_PLACES = 1 << 16
 
 LEVELS = "array<struct<chunks:binary,more:binary,rank:binary>>"
 
@@ -76,14 +80,18 @@ def access(levels: list[dict[str, bytes]], i: int) -> int:
 
 
 class WordCoder:
-    """Encodes texts by a tokenizer that never joins across ASCII white space: each new word once."""
+    """Encodes texts by a tokenizer that never joins across ASCII white space: each new word once.
 
-    def __init__(self, path: str):
+    Strings of special tokens in a text give their ids, as the library does by itself; with special_as_text they
+    are ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -93,10 +101,14 @@ class WordCoder:
             self.known.clear()
         new = list(set().union(*words).difference(self.known))
         # Marks after a last letter or digit are tokens of their own, and the tokenizer lower-cases: so fewer words are new.
+        # What may hold a special token stays as it is, and so do marks behind a letter that lower-casing gives a combining mark.
         known, marked, fresh = self.known, [], set()
         for w in new:
             c = w.rstrip(MARKS)
-            c = (c if c[-1:].isalnum() or c and c.decode()[-1].isalpha() else w).lower()
+            if SPECIAL in w:
+                c = w
+            else:
+                c = (c if c[-1:].isalnum() or c and c.decode().lower()[-1].isalpha() else w).lower()
             if c != w:
                 marked.append((w, c))
                 if len(c) < len(w) and w[len(c) :] not in known:
@@ -164,7 +176,8 @@ def write_codes(df: DataFrame, tokenizer_path: str, out: str, end_id: int = 1, i
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     kind = df.schema[id_col].dataType.simpleString()
     codes = src.mapInArrow(run, f"shard int, segment int, start long, n_tokens long, ids array<{kind}>, lengths array<long>, levels {LEVELS}")
-    codes.write.option("compression", "zstd").parquet(out)
+    # Not compressed: what is stored is what access() reads.
+    codes.write.option("compression", "none").parquet(out)
 
 
 def read_codes(df: DataFrame) -> DataFrame:
@@ -194,21 +207,28 @@ def decode(codes: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def tokens_at(codes: DataFrame, places: DataFrame, place_col: str = "place") -> DataFrame:
     """(place_col, token) for places of the token stream; reads the segments hit, decodes no block.
 
-    A place is matched to its segment through buckets of SEGMENT_TOKENS places, an equi-join. Null places and
-    places outside the stream give no row; repeated places repeat.
+    A place is matched to its segment through buckets of SEGMENT_TOKENS places, an equi-join without the codes. The
+    distinct places of a segment then go to it in lists of at most LIST_PLACES, so that a segment travels once for each list.
+    Null places and places outside the stream give no row; repeated places repeat.
     """
     ship(codes.sparkSession)
-    width = F.lit(SEGMENT_TOKENS)
-    seg = codes.filter("n_tokens > 0").select("start", "n_tokens", "levels", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n_tokens") - 1) / width))).alias("bucket"))
-    at = places.select(F.col(place_col).cast("long").alias("place")).filter("place is not null").withColumn("bucket", F.floor(F.col("place") / width))
-    hit = seg.join(at, "bucket").filter("place >= start and place < start + n_tokens").select("place", (F.col("place") - F.col("start")).alias("i"), "levels")
+    width, own = F.lit(SEGMENT_TOKENS), ["shard", "segment"]
+    seg = codes.filter("n_tokens > 0").select(*own, "start", "n_tokens", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("n_tokens") - 1) / width))).alias("bucket"))
+    at = places.select(F.col(place_col).cast("long").alias("place")).filter("place is not null")
+    hit = seg.join(at.distinct().withColumn("bucket", F.floor(F.col("place") / width)), "bucket").filter("place >= start and place < start + n_tokens")
+    hit = hit.select(*own, "place", (F.col("place") - F.col("start")).alias("i"))
+    lists = hit.groupBy(*own, F.floor(F.col("i") / LIST_PLACES).alias("part")).agg(F.collect_list("place").alias("places"), F.collect_list("i").alias("at"))
+    met = lists.join(codes.select(*own, "levels"), own).select("places", "at", "levels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [access(v.as_py(), i.as_py()) for i, v in zip(b.column(1), b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], [place_col, "token"])
+            for k in range(b.num_rows):
+                levels = b.column(2)[k].as_py()
+                got = [access(levels, i) for i in b.column(1)[k].as_py()]
+                yield pa.RecordBatch.from_arrays([b.column(0)[k].values, pa.array(got, pa.int64())], ["place", "token"])
 
-    return hit.mapInArrow(run, f"`{place_col}` long, token long")
+    found = met.mapInArrow(run, "place long, token long")
+    return at.join(found, "place").select(F.col("place").alias(place_col), "token")
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
