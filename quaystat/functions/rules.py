@@ -72,21 +72,24 @@ def default_aggregation(code: Column, measure_name: Column) -> Column:
 
 
 def value_type(code: Column) -> Column:
-    return first_match([(code.isin("PERCENT", "PERCENTAGE_POINTS"), "percentage"), (code.startswith("EUR"), "currency"), (code == "INDEX", "index"), (code.isin("COUNT", "PERSONS", "HOUSEHOLDS", "THOUSANDS"), "count")], "decimal")
+    """Percentage points and thousands are plain decimals."""
+    return first_match([(code == "PERCENT", "percentage"), (code.isin("EUR", "EUR_THOUSANDS", "EUR_MILLIONS"), "currency"), (code == "INDEX", "index"), (code.isin("COUNT", "PERSONS", "HOUSEHOLDS"), "count")], "decimal")
 
 
 def geography_type(code: Column, declared: Column) -> Column:
+    """The level that a region code names by its beginning, else the declared one; country if nothing is known."""
     c = F.upper(F.trim(F.coalesce(code, F.lit(""))))
-    d = F.lower(declared)
+    d = F.lower(F.coalesce(declared, F.lit("unknown")))
     return first_match(
         [
-            (c.isin("", "UNKNOWN", "NL", "NL00", "NL01"), "country"),
+            (c.isin("", "UNKNOWN", "TOTAAL", "TOTAL", "NL", "NL00", "NL01"), "country"),
+            (c.startswith("PV"), "province"),
             (c.startswith("GM"), "municipality"),
             (c.startswith("WK") | c.startswith("BU"), "neighborhood"),
             (c.startswith("CR") | c.startswith("COROP"), "corop"),
-            (c.startswith("PV"), "province"),
             (c.startswith("LD"), "landsdeel"),
-            (d.isin("national", "totaal", "unknown"), "country"),
+            (d.isin("", "country", "national", "totaal", "unknown"), "country"),
+            (d.isin("other", "neighborhood", "region"), "region"),
         ],
         d,
     )
@@ -125,7 +128,20 @@ def is_total(code: Column, name: Column) -> Column:
 
 
 def relationship(r: Column, n: Column) -> tuple[Column, Column]:
-    """(direction, strength) of a Pearson coefficient over n pairs."""
-    a = F.abs(r)
+    """(direction, strength) of a Pearson coefficient over n pairs, as a query reports it."""
     direction = first_match([(r.isNull(), "insufficient_data"), (r > 0, "positive"), (r < 0, "negative")], "none")
-    return direction, first_match([(r.isNull() | (n < 5), "insufficient"), (a >= 0.7, "strong"), (a >= 0.4, "moderate"), (a >= 0.2, "weak")], "very_weak")
+    return direction, F.when(r.isNull() | (n < 5), "insufficient_data").otherwise(_strength(r))
+
+
+def relationship_profile(r: Column, n: Column) -> tuple[Column, Column, Column]:
+    """(direction, strength, quality) as a profile stores them: a band of 0.05 round zero is no direction."""
+    known = r.isNotNull() & ~F.isnan(r)
+    a = F.abs(r)
+    direction = first_match([(~known, "unknown"), (a < 0.05, "none"), (r > 0, "positive")], "negative")
+    quality = first_match([(~known | (n < 20), "insufficient_observations"), (a >= 0.7, "strong_candidate"), (a >= 0.4, "moderate_candidate")], "profiled")
+    return direction, F.when(~known, "insufficient_data").otherwise(_strength(r)), quality
+
+
+def _strength(r: Column) -> Column:
+    a = F.abs(r)
+    return first_match([(a >= 0.7, "strong"), (a >= 0.4, "moderate"), (a >= 0.2, "weak")], "very_weak")

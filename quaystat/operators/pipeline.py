@@ -204,9 +204,12 @@ ORACLES = {
         b AS (SELECT *, CASE k WHEN 'JJ' THEN make_date(y, 1, 1) WHEN 'KW' THEN make_date(y, nr * 3 - 2, 1) WHEN 'MM' THEN make_date(y, nr, 1) ELSE make_date(y, nr * 6 - 5, 1) END AS s FROM g)
         SELECT period_code, CASE k WHEN 'JJ' THEN 'year' WHEN 'KW' THEN 'quarter' WHEN 'MM' THEN 'month' ELSE 'half_year' END AS period_type, s::VARCHAR AS period_start,
                (CASE k WHEN 'JJ' THEN s + INTERVAL 12 MONTH WHEN 'KW' THEN s + INTERVAL 3 MONTH WHEN 'MM' THEN s + INTERVAL 1 MONTH ELSE s + INTERVAL 6 MONTH END - INTERVAL 1 DAY)::DATE::VARCHAR AS period_end, observations FROM b""",
-    "unit_normalisation": """SELECT * FROM (VALUES ('%','Waarde','PERCENT',1::BIGINT,'average','percentage'),('procentpunt','Waarde','PERCENTAGE_POINTS',1,'average','percentage'),('1 000 euro','Waarde','EUR_THOUSANDS',1000,'sum','currency'),('mln euro','Waarde','EUR_MILLIONS',1000000,'sum','currency'),
-        ('x 1 000','Gemiddeld inkomen','THOUSANDS',1000,'average','count'),('aantal personen','Waarde','PERSONS',1,'sum','count'),('2021=100','Waarde','INDEX',1,'average','index'),('m²','Waarde','SQUARE_METERS',1,'none','decimal'),('1 000 m3','Waarde','CUBIC_METERS',1,'none','decimal'),('uren','Gemiddeld inkomen','HOURS',1,'average','decimal'),
-        ('','Waarde','UNKNOWN',1,'none','decimal'),('euro','Waarde','EUR',1,'sum','currency'),('huishoudens','Waarde','HOUSEHOLDS',1,'sum','count'),('kg','Waarde','UNKNOWN',1,'none','decimal')) t(unit, measure, unit_code, scale_factor, aggregation, value_type)""",
+    "unit_normalisation": """WITH u AS (SELECT unnest(['%', 'procentpunt', '1 000 euro', 'mln euro', 'x 1 000', 'aantal personen', '2021=100', 'm²', '1 000 m3', 'uren', '', 'euro', 'huishoudens', 'kg']) AS unit, generate_subscripts(['%', 'procentpunt', '1 000 euro', 'mln euro', 'x 1 000', 'aantal personen', '2021=100', 'm²', '1 000 m3', 'uren', '', 'euro', 'huishoudens', 'kg'], 1) AS k),
+        t AS (SELECT unit, CASE WHEN k % 5 = 0 THEN 'Gemiddeld inkomen' ELSE 'Waarde' END AS measure, lower(unit || ' ' || CASE WHEN k % 5 = 0 THEN 'Gemiddeld inkomen' ELSE 'Waarde' END) AS x FROM u),
+        c AS (SELECT unit, measure, CASE WHEN trim(unit) = '' THEN 'UNKNOWN' WHEN regexp_matches(x, 'procentpunt|percentage point') THEN 'PERCENTAGE_POINTS' WHEN regexp_matches(x, '%|percentage|procent') THEN 'PERCENT' WHEN regexp_matches(x, 'mln euro|million euro') THEN 'EUR_MILLIONS' WHEN regexp_matches(x, '1 000 euro|1000 euro|eur1000') THEN 'EUR_THOUSANDS' WHEN contains(x, 'eur') THEN 'EUR'
+          WHEN regexp_matches(x, 'index|\\b\\d{4}\\s*=\\s*100\\b') THEN 'INDEX' WHEN regexp_matches(x, 'm²|m2') THEN 'SQUARE_METERS' WHEN regexp_matches(x, 'm³|m3') THEN 'CUBIC_METERS' WHEN regexp_matches(x, 'uren|hours') THEN 'HOURS' WHEN contains(x, '1 000') THEN 'THOUSANDS' WHEN regexp_matches(x, 'personen|people|inwoners') THEN 'PERSONS' WHEN contains(x, 'huishoudens') THEN 'HOUSEHOLDS' WHEN regexp_matches(x, 'aantal|count|number|woningen|bedrijven|objecten') THEN 'COUNT' ELSE 'UNKNOWN' END AS unit_code FROM t)
+        SELECT *, CASE WHEN unit_code IN ('EUR_THOUSANDS', 'THOUSANDS') THEN 1000 WHEN unit_code = 'EUR_MILLIONS' THEN 1000000 ELSE 1 END::BIGINT AS scale_factor, CASE WHEN unit_code IN ('PERCENT', 'PERCENTAGE_POINTS', 'INDEX') OR regexp_matches(lower(measure), 'gemiddeld|average|mediaan|index') THEN 'average' WHEN unit_code IN ('COUNT', 'PERSONS', 'HOUSEHOLDS', 'THOUSANDS') OR contains(unit_code, 'EUR') THEN 'sum' ELSE 'none' END AS aggregation,
+          CASE WHEN unit_code = 'PERCENT' THEN 'percentage' WHEN contains(unit_code, 'EUR') THEN 'currency' WHEN unit_code = 'INDEX' THEN 'index' WHEN unit_code IN ('COUNT', 'PERSONS', 'HOUSEHOLDS') THEN 'count' ELSE 'decimal' END AS value_type FROM c""",
     "missing_classification": "SELECT CASE WHEN o_orderstatus = 'P' THEN 'suppressed' WHEN o_orderkey % 11 = 0 THEN 'missing' ELSE 'reported' END AS status, o_orderstatus = 'P' OR o_orderkey % 11 = 0 AS is_missing, o_orderstatus = 'P' AS is_suppressed, count(*) AS cells FROM orders GROUP BY ALL",
     "geography_typing": "SELECT 'GM' || lpad(n_nationkey::VARCHAR, 4, '0') AS code, 'municipality' AS geography_type, 1::BIGINT AS level_order FROM nation UNION ALL SELECT 'PV' || r_regionkey, 'province', 3 FROM region UNION ALL SELECT 'ZZ' || r_regionkey, CASE WHEN r_regionkey = 0 THEN 'country' ELSE 'region' END, CASE WHEN r_regionkey = 0 THEN 5 ELSE 2 END FROM region",
     "stable_keys": "SELECT o_orderkey, sha256(t) AS record_hash, ('0x' || substr(sha256(t), 1, 15))::BIGINT AS record_key FROM (SELECT o_orderkey, 'ORDERS|' || o_orderkey || '|' || CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE '' END AS t FROM orders)",

@@ -67,16 +67,21 @@ def grain_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Default measure by name and rows, default breakdown by number of categories, supported shapes and status."""
-    m = measure_profile(spark, sf_dir)
-    best = F.row_number().over(Window.partitionBy("dataset_code").orderBy(F.when(F.contains(F.lower("measure_code"), F.lit("total")), 0).when(F.col("unit_code") == "COUNT", 2).otherwise(10), F.desc("populated_rows"), "measure_code"))
-    first = m.withColumn("rn", best).filter("rn = 1").select("dataset_code", F.col("measure_code").alias("default_measure"))
+    """Default measure by name and rows, default breakdown by number of categories, supported shapes and status.
+
+    All of it from one pass over the facts, rolled up to measures first.
+    """
+    fact = mart.observations(spark, sf_dir)
+    m = fact.groupBy("dataset_code", "measure_code", "unit_code").agg(F.count_if(~F.col("is_missing")).alias("populated"), F.bool_or(F.col("geography_type") == "municipality").alias("has_municipality"))
+    name = F.lower("measure_code")
+    rank = F.struct((F.col("populated") == 0).alias("empty"), F.when(F.contains(name, F.lit("total")), 0).when(F.contains(name, F.lit("beginstand")), 1).when(F.col("unit_code") == "COUNT", 2).otherwise(10).alias("kind"), (-F.col("populated")).alias("rows"), "measure_code")
+    out = m.groupBy("dataset_code").agg(F.min_by("measure_code", rank).alias("default_measure"), F.bool_or("has_municipality").alias("has_municipality"), F.sum("populated").alias("populated"))
     dims = dimension_profile(spark, sf_dir).filter("category_count > 1").withColumn("dataset_code", F.lit("ORDERS"))
-    rank = F.row_number().over(Window.partitionBy("dataset_code").orderBy(F.desc("category_count"), "dimension_code"))
-    breakdown = dims.withColumn("rn", rank).filter("rn = 1").select("dataset_code", F.col("dimension_code").alias("default_breakdown"))
-    out = dataset_profile(spark, sf_dir).join(first, "dataset_code", "left").join(breakdown, "dataset_code", "left")
+    order = F.struct(F.when(F.contains(F.lower("dimension_code"), F.lit("type")), 0).otherwise(10).alias("kind"), (-F.col("category_count")).alias("n"), "dimension_code")
+    breakdown = dims.groupBy("dataset_code").agg(F.min_by("dimension_code", order).alias("default_breakdown"))
+    out = out.join(F.broadcast(breakdown), "dataset_code", "left")
     shapes = F.array_compact(F.array(F.when(F.col("default_measure").isNotNull(), "lookup_value"), F.when(F.col("has_municipality"), "rank_geographies"), F.when(F.col("has_municipality"), "compare_geographies"), F.when(F.col("default_breakdown").isNotNull(), "category_breakdown")))
-    return out.select("dataset_code", "default_measure", "default_breakdown", F.array_join(shapes, ",").alias("shapes"), F.when(F.col("populated_rows") == 0, "metadata_only").when(F.col("default_breakdown").isNotNull(), "complete").otherwise("usable").alias("status"))
+    return out.select("dataset_code", "default_measure", "default_breakdown", F.array_join(shapes, ",").alias("shapes"), F.when(F.col("populated") == 0, "metadata_only").when(F.col("default_breakdown").isNotNull(), "complete").otherwise("usable").alias("status"))
 
 
 def metric_dimension_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,16 +109,10 @@ def contract_observation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     need = f.groupBy("contract").agg(F.count("*").alias("need"))
     hit = mart.bridge(spark, sf_dir).join(F.broadcast(f), ["dimension_code", "category_name"]).groupBy("contract", "observation_key").agg(F.count("*").alias("have"))
     ok = hit.join(F.broadcast(need), "contract").filter("have = need")
-    fact = mart.populated(mart.observations(spark, sf_dir)).filter("measure_code = 'TOTAL_PRICE'").select("observation_key")
+    fact = mart.populated(mart.observations(spark, sf_dir, ("TOTAL_PRICE",))).select("observation_key")
     return ok.join(fact, "observation_key").groupBy("contract").agg(F.count("*").alias("facts"))
 
 
-def review_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measure_profile(spark, sf_dir)
-    issues = F.array_compact(F.array(F.when(F.col("populated_rows") == 0, "no_populated_facts"), F.when(F.col("default_aggregation") == "none", "unsafe_aggregation"), F.when(F.col("is_non_additive"), "non_additive_metric"), F.when(F.col("missing_rows") > 0, "has_missing")))
-    return m.select("measure_code", F.array_join(issues, ",").alias("diagnostics"), F.when(F.size(issues) == 0, "review_candidate").otherwise("profiled").alias("state"))
-
-
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze and silver checks of the orders in one aggregate."""
     o = read(spark, sf_dir, "orders")
@@ -121,15 +120,6 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("rows", "keys", "nulls", F.when(F.col("rows") == 0, "failed").when((F.col("rows") != F.col("keys")) | (F.col("nulls") > 0), "warning").otherwise("passed").alias("status"))
 
 
-def gold_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Additive score of each nation's orders."""
-    fact = mart.observations(spark, sf_dir)
-    per = fact.groupBy("geography_code").agg(F.count_if(F.col("value").isNotNull()).alias("populated"), F.countDistinct("calendar_year").alias("years"), F.countDistinct("measure_code").alias("measures"))
-    yes = lambda c, n: F.when(c, n).otherwise(0)
-    score = F.lit(20) + yes(F.col("years") >= 7, 20) + F.lit(20) + yes(F.col("measures") >= 3, 20) + yes(F.col("populated") > 0, 10) + yes(F.col("populated") % 2 == 0, 10)
-    return per.select("geography_code", score.cast("long").alias("score")).select("*", F.when(F.col("score") >= 80, "ready").when(F.col("score") >= 50, "review").otherwise("not_ready").alias("status"))
-
-
 def dataset_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.collect_set(F.year("o_orderdate")).alias("years"))
     bucket = F.when(F.col("n") < 5, "small").when(F.col("n") < 15, "medium").otherwise("large")
@@ -153,16 +143,14 @@ ORACLES = {
     "dataset_profile": f"WITH {_ROLL} SELECT dataset_code, string_agg(DISTINCT measure_code, ',' ORDER BY measure_code) AS measures, string_agg(DISTINCT calendar_year, ',' ORDER BY calendar_year) AS years, true AS has_municipality, sum(populated_rows)::BIGINT AS populated_rows FROM roll GROUP BY dataset_code",
     "dimension_profile": f"WITH {SQL}, c AS (SELECT dimension_code, category_name, count(*) AS n FROM bridge GROUP BY ALL) SELECT dimension_code, count(*) AS category_count, sum(n)::BIGINT AS observations, string_agg(category_name, '|' ORDER BY n DESC, category_name) AS categories FROM c GROUP BY ALL",
     "category_profile": f"WITH {_CATEGORY} SELECT * FROM cp",
-    "total_category_collapse": f"WITH {_CATEGORY} SELECT dimension_code, category_name, observations FROM cp WHERE is_total",
+    "total_category_collapse": f"WITH {_CATEGORY} SELECT dimension_code, category_name, observations FROM cp QUALIFY row_number() OVER (PARTITION BY dimension_code ORDER BY CASE WHEN lower(category_name) IN ('totaal', 'total') THEN 0 WHEN contains(lower(category_name), 'total') OR contains(lower(category_name), 'totaal') THEN 1 ELSE 2 END, length(category_name), category_name) = 1",
     "grain_profile": f"WITH {SQL} SELECT dataset_code, 'municipality_year' AS grain, count(DISTINCT calendar_year) AS years, count(DISTINCT geography_code) AS geographies, count(*) AS facts FROM fact GROUP BY ALL",
-    "dataset_contract": f"WITH {SQL}, d AS (SELECT dimension_code, count(DISTINCT category_name) AS n FROM bridge GROUP BY ALL ORDER BY n DESC, dimension_code LIMIT 1) SELECT 'ORDERS' AS dataset_code, 'TOTAL_PRICE' AS default_measure, dimension_code AS default_breakdown, 'lookup_value,rank_geographies,compare_geographies,category_breakdown' AS shapes, 'complete' AS status FROM d UNION ALL SELECT 'LINEITEM', 'QUANTITY', NULL, 'lookup_value,rank_geographies,compare_geographies', 'usable'",
-    "metric_dimension_compatibility": f"WITH {SQL} SELECT 'ORDERS' AS dataset_code, 'TOTAL_PRICE' AS measure_code, dimension_code, count(DISTINCT category_name) AS category_count FROM bridge GROUP BY ALL",
+    "dataset_contract": f"WITH {SQL}, m AS (SELECT dataset_code, measure_code, unit_code, count(value) AS n FROM obs GROUP BY ALL), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY dataset_code ORDER BY n = 0, CASE WHEN contains(lower(measure_code), 'total') THEN 0 WHEN contains(lower(measure_code), 'beginstand') THEN 1 WHEN unit_code = 'COUNT' THEN 2 ELSE 10 END, n DESC, measure_code) = 1), d AS (SELECT * FROM (SELECT dimension_code, count(DISTINCT category_name) AS n FROM bridge GROUP BY dimension_code) WHERE n > 1 ORDER BY contains(lower(dimension_code), 'type') DESC, n DESC, dimension_code LIMIT 1), t AS (SELECT dataset_code, sum(n) AS n FROM m GROUP BY ALL) SELECT b.dataset_code, measure_code AS default_measure, CASE WHEN b.dataset_code = 'ORDERS' THEN dimension_code END AS default_breakdown, 'lookup_value,rank_geographies,compare_geographies' || CASE WHEN b.dataset_code = 'ORDERS' THEN ',category_breakdown' ELSE '' END AS shapes, CASE WHEN t.n = 0 THEN 'metadata_only' WHEN b.dataset_code = 'ORDERS' THEN 'complete' ELSE 'usable' END AS status FROM b JOIN t USING (dataset_code), d",
+    "metric_dimension_compatibility": f"WITH {SQL}, m AS (SELECT DISTINCT dataset_code, measure_code FROM obs WHERE measure_code IN (SELECT DISTINCT measure_code FROM obs JOIN bridge USING (observation_key) WHERE dataset_code = 'ORDERS')), d AS (SELECT dimension_code, count(DISTINCT category_name) AS category_count FROM bridge GROUP BY ALL) SELECT m.dataset_code, m.measure_code, dimension_code, category_count FROM m, d WHERE m.dataset_code = 'ORDERS'",
     "measure_capability": f"WITH {_MEASURE} SELECT measure_code, year_count > 1 AS supports_trend, populated_rows > 0 AS supports_ranking, CASE WHEN populated_rows = 0 THEN 'no_populated_facts' WHEN missing_rows > populated_rows THEN 'partial_sparse' ELSE 'ready' END AS status FROM mp",
     "category_value_contracts": f"WITH {_CATEGORY} SELECT lower('total_price_' || dimension_code || '_' || regexp_replace(category_name, '[^A-Za-z0-9]+', '_', 'g')) AS contract_code, '{{\"' || dimension_code || '\":\"' || category_name || '\"}}' AS filters, 'municipality_year,province_year,country_year' AS grains FROM cp WHERE NOT is_total",
     "contract_observation_index": f"WITH {SQL}, t AS (SELECT p.o_orderstatus AS s, p.o_orderpriority AS p, p.c_mktsegment AS m FROM place p WHERE o_orderstatus <> 'P') SELECT 'urgent_open' AS contract, count(*) AS facts FROM t WHERE s = 'O' AND p = '1-URGENT' UNION ALL SELECT 'building', count(*) FROM t WHERE m = 'BUILDING' UNION ALL SELECT 'open', count(*) FROM t WHERE s = 'O'",
-    "review_diagnostics": f"WITH {_MEASURE} SELECT measure_code, CASE WHEN missing_rows > 0 THEN 'has_missing' ELSE '' END AS diagnostics, CASE WHEN missing_rows > 0 THEN 'profiled' ELSE 'review_candidate' END AS state FROM mp",
     "quality_checks": "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys, count(*) - count(o_totalprice) AS nulls, CASE WHEN count(*) = 0 THEN 'failed' WHEN count(*) <> count(DISTINCT o_orderkey) OR count(*) <> count(o_totalprice) THEN 'warning' ELSE 'passed' END AS status FROM orders",
-    "gold_readiness": f"WITH {SQL}, g AS (SELECT geography_code, count(value) AS populated, count(DISTINCT calendar_year) AS years, count(DISTINCT measure_code) AS measures FROM obs GROUP BY ALL), s AS (SELECT geography_code, (40 + CASE WHEN years >= 7 THEN 20 ELSE 0 END + CASE WHEN measures >= 3 THEN 20 ELSE 0 END + CASE WHEN populated > 0 THEN 10 ELSE 0 END + CASE WHEN populated % 2 = 0 THEN 10 ELSE 0 END)::BIGINT AS score FROM g) SELECT *, CASE WHEN score >= 80 THEN 'ready' WHEN score >= 50 THEN 'review' ELSE 'not_ready' END AS status FROM s",
     "dataset_facets": "WITH c AS (SELECT o_custkey, count(*) AS n, bool_or(year(o_orderdate) IN (2000, 2001)) AS recent FROM orders GROUP BY 1) SELECT CASE WHEN n < 5 THEN 'small' WHEN n < 15 THEN 'medium' ELSE 'large' END AS size, recent, count(*) AS customers FROM c GROUP BY ALL",
     "null_safe_diff": "SELECT count(*) AS different FROM orders WHERE CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END IS DISTINCT FROM CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END",
 }

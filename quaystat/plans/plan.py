@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,7 @@ class Plan:
     filters: dict[str, tuple[str, ...]] = field(default_factory=dict)
     having: tuple[str, float] | None = None
     dimension: str | None = None
+    qualifier: tuple[str, str] | None = None
     descending: bool = True
     limit: int | None = None
 
@@ -58,9 +60,9 @@ def _names(names: tuple[str, ...]) -> list[str]:
 
 
 def named(col: Column, names: tuple[str, ...]) -> Column:
-    """Name equality without case, also after a bracketed end is taken off."""
-    c = F.lower(col)
-    return c.isin(_names(names)) | F.regexp_replace(c, PARENTHESIS, "").isin(_names(names))
+    """Name equality without case, also after a bracketed end is taken off both."""
+    c, want = F.lower(col), _names(names)
+    return c.isin(want) | F.regexp_replace(c, PARENTHESIS, "").isin([re.sub(PARENTHESIS, "", n) for n in want])
 
 
 def with_categories(fact: DataFrame, bridge: DataFrame, filters: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -122,6 +124,8 @@ def compile_plan(plan: Plan, fact: DataFrame, bridge: DataFrame) -> DataFrame:
         return _cell(base.filter(F.col("calendar_year").isNotNull()), *by).orderBy(*by).limit(plan.clamped())
     if plan.shape == "category_breakdown":
         cats = bridge.filter((F.lower("dimension_code") == plan.dimension.lower()) & ~F.col("category_name").startswith("Unknown"))
+        if plan.qualifier:  # a second dimension must have one value
+            base = with_categories(base, bridge, {plan.qualifier[0]: (plan.qualifier[1],)})
         out = _cell(base.join(cats, "observation_key"), "geography_name", "calendar_year", "dimension_code", "category_name")
         return out.orderBy("geography_name", "calendar_year", "category_name").limit(plan.clamped())
     if plan.shape == "metric_comparison":
