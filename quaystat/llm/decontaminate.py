@@ -175,3 +175,20 @@ def drop_contaminated(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
     key = free_name(df, "__gone")
     gone = contamination(df, bench, id_col, text_col).filter("contaminated").select(F.col(id_col).alias(key)).distinct()
     return df.join(gone, df[id_col] == gone[key], "left_anti")
+
+
+def oracle_sql(span: int = SPAN, percent: int = 5) -> str:
+    """DuckDB SQL of contamination() over the tables documents and benchmark."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+i AS (SELECT item_id, w, least({span}, len(w)) AS n FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM i)),
+dw AS (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hit AS (SELECT r, item_id, n, p FROM dw JOIN iw USING (n, g)),
+cover AS (SELECT r, count(DISTINCT p + j) AS n_hit FROM hit, (SELECT unnest(range(0, {span})) AS j) WHERE j < n GROUP BY r),
+item AS (SELECT r, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS t FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 100 * coalesce(n_hit, 0) >= {percent} * len(w) AS contaminated
+FROM d LEFT JOIN cover USING (r) LEFT JOIN item USING (r)
+"""

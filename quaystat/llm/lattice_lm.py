@@ -3,7 +3,7 @@
 The pieces and the order of their scores come from an existing vocabulary. A document is its words, each
 with a mark before it, and an end. A forward recursion in log space over the lattice of pieces gives the marginal
 probability of a word; no piece crosses from word to word, so a document's is the product of its words'.
-Piece weights start as 1 / (score rank + RANK_SHIFT) and are re-estimated by expectation-maximisation on the
+Piece weights start as 1 / (score rank + RANK_SHIFT) and are re-estimated by expectation-maximisation on all the
 words of the training documents. Pieces are never added: no tokenizer is trained.
 
 Words are weighed once each, in a distributed table; documents are scored by a join with it. The most frequent
@@ -13,6 +13,7 @@ words (BROADCAST_WORDS, a fixed number) are sent to all tasks instead, which als
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from quaystat.llm.common import ship, written
 MARK = "▁"
 RANK_SHIFT = 50.0
 #: Steps of the estimation, each over all training words.
-STEPS = 2
+STEPS = 3
 #: Characters of a word whose expectations are computed with plain probabilities, where those do not underflow.
 PLAIN_CHARS = 64
 BROADCAST_WORDS = 300_000
@@ -42,6 +43,13 @@ def _add(into: dict[str, float], piece: str | tuple[str, ...], c: float) -> None
         into[x] = into.get(x, 0.0) + c
 
 
+def _log_sum(t: list[float]) -> float:
+    if len(t) < 2:
+        return t[0] if t else -math.inf
+    m = max(t)
+    return m if m == -math.inf else m + math.log(sum([math.exp(x - m) for x in t]))
+
+
 class Lattice:
     """Pieces with log weights; END stands for the end of a document."""
 
@@ -52,6 +60,8 @@ class Lattice:
         #: Every piece with its weight, and every beginning of one (None): a search goes on as long as it is here.
         self.table: dict[str, float | None] = {p[:k]: None for p in weights for k in range(1, len(p))}
         self.table.update(weights)
+        #: The same as plain probabilities; 0 for a mere beginning.
+        self.plain = {p: 0.0 if w is None else math.exp(w) for p, w in self.table.items()}
 
     @classmethod
     def from_vocabulary(cls, path: str) -> Lattice:
@@ -74,8 +84,8 @@ class Lattice:
         out: list[list[tuple[int, float, object]]] = [[] for _ in range(n + 1)]
         for i in range(n):
             if s[i] not in self.weights:
-                raw = tuple(f"<0x{b:02X}>" for b in s[i].encode("utf-8", "surrogatepass"))
-                out[i + 1].append((i, sum(self.weights.get(b, -50.0) for b in raw), raw))
+                raw = self.bytes_of(s[i])
+                out[i + 1].append((i, sum(w for _, w in raw), tuple(b for b, _ in raw)))
             for j in range(i + 1, n + 1):
                 p = s[i:j]
                 if p not in table:
@@ -88,35 +98,76 @@ class Lattice:
     def forward(self, arcs: list[list[tuple[int, float, object]]]) -> list[float]:
         a = [0.0]
         for into in arcs[1:]:
-            if len(into) == 1:
-                a.append(a[into[0][0]] + into[0][1])
-            else:
-                t = [a[i] + w for i, w, _ in into]
-                m = max(t)
-                a.append(m + math.log(sum([math.exp(x - m) for x in t])))
+            a.append(_log_sum([a[i] + w for i, w, _ in into]))
         return a
 
     def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all segmentations of the marked word."""
-        return self.forward(self.arcs(MARK + word))[-1]
+        """Natural log of the sum over all segmentations of the marked word, by a forward recursion in log space."""
+        s, table = MARK + word, self.table
+        n, a = len(s), 0.0
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        for i in range(n):
+            t = into[i]
+            if not t:
+                continue
+            a = t[0] if len(t) == 1 else _log_sum(t)
+            if s[i] not in self.weights:
+                into[i + 1].append(a + sum(w for _, w in self.bytes_of(s[i])))
+            for j in range(i + 1, n + 1):
+                p = s[i:j]
+                if p not in table:
+                    break
+                w = table[p]
+                if w is not None:
+                    into[j].append(a + w)
+        return _log_sum(into[n])
+
+    def bytes_of(self, c: str) -> list[tuple[str, float]]:
+        """The byte pieces of a character that is no piece, with their log weights."""
+        return [(b, self.weights.get(b, -50.0)) for b in (f"<0x{x:02X}>" for x in c.encode("utf-8", "surrogatepass"))]
 
     def expect(self, word: str, count: float, into: dict[str, float]) -> None:
         """Adds count times the expected number of each piece in the word."""
+        if len(word) >= PLAIN_CHARS or not self._expect_plain(word, count, into):
+            self._expect_log(word, count, into)
+
+    def _expect_plain(self, word: str, count: float, into: dict[str, float]) -> bool:
+        """With plain probabilities; False, with nothing added, if they underflow."""
+        s, get = MARK + word, self.plain.get
+        n = len(s)
+        a = [1.0] + [0.0] * n
+        arcs = []
+        for i in range(n):
+            ai = a[i]
+            if s[i] not in self.weights:
+                raw = self.bytes_of(s[i])
+                w = math.exp(sum(w for _, w in raw))
+                a[i + 1] += ai * w
+                arcs.append((i, i + 1, w, tuple(b for b, _ in raw)))
+            for j in range(i + 1, n + 1):
+                p = s[i:j]
+                w = get(p, -1.0)
+                if w > 0.0:
+                    a[j] += ai * w
+                    arcs.append((i, j, w, p))
+                elif w < 0.0:
+                    break
+        if a[n] < 1e-250:
+            return False
+        b = [0.0] * n + [count / a[n]]
+        for i, j, w, p in reversed(arcs):
+            t = b[j] * w
+            b[i] += t
+            if type(p) is str:
+                into[p] = into.get(p, 0.0) + a[i] * t
+            else:
+                _add(into, p, a[i] * t)
+        return True
+
+    def _expect_log(self, word: str, count: float, into: dict[str, float]) -> None:
         arcs = self.arcs(MARK + word)
         n, exp = len(arcs) - 1, math.exp
-        if n <= PLAIN_CHARS:
-            a = [1.0]
-            for into_j in arcs[1:]:
-                a.append(sum([a[i] * exp(w) for i, w, _ in into_j]))
-            if a[n] > 1e-250:
-                b = [0.0] * n + [count / a[n]]
-                for j in range(n, 0, -1):
-                    if b[j]:
-                        for i, w, p in arcs[j]:
-                            t = b[j] * exp(w)
-                            b[i] += t
-                            _add(into, p, a[i] * t)
-                return
         a = self.forward(arcs)
         b = [-math.inf] * n + [0.0]
         for j in range(n, 0, -1):
@@ -132,6 +183,17 @@ class Lattice:
         return Lattice({p: math.log(expected.get(p, 0.0) + PRIOR) - total for p in self.weights})
 
 
+_MODELS: dict[str, Lattice] = {}
+
+
+def _model(key: str, weights: dict[str, float]) -> Lattice:
+    """The lattice of a worker process: built once for all its tasks."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Lattice(weights)
+    return _MODELS[key]
+
+
 def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -178,8 +240,8 @@ def fit(words: DataFrame, docs: int, path: str, steps: int = STEPS) -> Lattice:
     for _ in range(steps):
         sent = words.sparkSession.sparkContext.broadcast(model.weights)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, sums = Lattice(sent.value), {}
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            own, sums = _model(key, sent.value), {}
             for b in batches:
                 for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     own.expect(w.decode("utf-8", "surrogatepass"), c, sums)
@@ -210,10 +272,10 @@ def score(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     tokens, distinct = tokens + docs, distinct + (docs > 0)
     below = math.log10(tokens + 0.5 * (distinct + 1))
     model = fit(words, docs, path)
-    sent = spark.sparkContext.broadcast(model.weights)
+    sent, key = spark.sparkContext.broadcast(model.weights), uuid.uuid4().hex
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lattice(sent.value)
+        own = _model(key, sent.value)
         for b in batches:
             got = [own.log_probability(w.decode("utf-8", "surrogatepass")) / _LOG10 for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], ["word", "c", "p"])

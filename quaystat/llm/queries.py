@@ -54,4 +54,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_token_codes": op1_token_codes, "op2_html_text": op2_html_text, "op3_lattice_lm": op3_lattice_lm, "op4_line_dedup": op4_line_dedup, "op5_secrets": op5_secrets, "op6_substring_dedup": op6_substring_dedup, "op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {"op5_secrets": secrets.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
+ORACLES: dict[str, str] = {"op5_secrets": secrets.oracle_sql(), "op6_substring_dedup": substring_dedup.oracle_sql(), "op7_quality_rules": quality.oracle_sql(), "op8_near_dup": near_dup.oracle_sql(), "op10_decontaminate": decontaminate.oracle_sql()}

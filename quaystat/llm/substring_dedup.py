@@ -244,3 +244,15 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     return got.mapInArrow(keep, f"`{id_col}` long, n_words long, n_removed long, kept_text string")
 
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL of the query over the table documents."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, doc_id, p, array_to_string(w[p:p + {window - 1}], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {window - 2})) AS p FROM d)),
+low AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, p + j AS i FROM (SELECT r, p FROM win JOIN low USING (g) WHERE doc_id > m), (SELECT unnest(range(0, {window})) AS j)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)
+"""

@@ -30,6 +30,8 @@ CACHE_WORDS = 800_000
 MARKS = b".,;:!?|"
 #: Every special token begins so.
 SPECIAL = b"<|"
+#: The last piece of a run of letters ends so.
+WORD_END = "</w>"
 BLOCK_BITS = 512
 #: Places that go to a segment in one list.
 LIST_PLACES = 1 << 16
@@ -93,41 +95,61 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a run of letters.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for p, i in vocabulary.items() if p.endswith(WORD_END)]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.encode().split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*words).difference(self.known))
-        # Marks after a last letter or digit are tokens of their own, and the tokenizer lower-cases: so fewer words are new.
-        # What may hold a special token stays as it is, and so do marks behind a letter that lower-casing gives a combining mark.
-        known, marked, fresh = self.known, [], set()
-        for w in new:
+        raw = [t.encode() for t in texts]
+        # The tokenizer lower-cases; what may hold a special token stays as it is.
+        words = [(t if SPECIAL in t else t.lower()).split() for t in raw]
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = set().union(*words).difference(known)
+        # Marks after a last letter or digit are tokens of their own: so fewer words are new. Not so behind a letter
+        # that lower-casing gives a combining mark.
+        marked = {}
+        for w in [w for w in new if w[-1] in MARKS and SPECIAL not in w]:
             c = w.rstrip(MARKS)
-            if SPECIAL in w:
-                c = w
-            else:
-                c = (c if c[-1:].isalnum() or c and c.decode().lower()[-1].isalpha() else w).lower()
-            if c != w:
-                marked.append((w, c))
-                if len(c) < len(w) and w[len(c) :] not in known:
-                    fresh.add(w[len(c) :])
-            if c not in known:
-                fresh.add(c)
-        fresh = list(fresh)
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
-                known[c] = array("I", e.ids).tobytes()
-        for w, c in marked:
-            known[w] = known[c] + known[w[len(c) :]] if len(c) < len(w) else known[c]
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+            if c[-1:].isalnum() or c and c.decode().lower()[-1].isalpha():
+                marked[w] = c
+        fresh = {*new.difference(marked), *marked.values(), *(w[len(c) :] for w, c in marked.items())}.difference(known)
+        letters, other = [], []
+        for c in fresh:
+            t = c.decode()
+            (letters if t.isalpha() and (t.isascii() or t.lower().isalpha()) else other).append(c)
+        self._learn_letters(letters)
+        self._learn(other)
+        for w, c in marked.items():
+            known[w] = known[c] + known[w[len(c) :]]
+        out = [b"".join(map(known.__getitem__, w)) for w in words]
         for w in {*new, *fresh}:
             if len(w) > 64:
-                self.known.pop(w, None)
+                known.pop(w, None)
         return out
 
+    def _learn(self, words: list[bytes]) -> None:
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)):
+                self.known[c] = array("I", e.ids).tobytes()
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        """Words of letters alone, many in one text: each ends with the one id of it that ends a run."""
+        for lo in range(0, len(words), 25_600):
+            part = words[lo : lo + 25_600]
+            texts = [b" ".join(part[k : k + 256]).decode() for k in range(0, len(part), 256)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(at) != len(part):
+                self._learn(part)
+                continue
+            flat = ids.tobytes()
+            self.known.update(zip(part, [flat[a:b] for a, b in zip([0, *at[:-1]], at)]))
+
 
 _CODERS: dict[str, WordCoder] = {}
 
