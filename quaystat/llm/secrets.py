@@ -1,8 +1,9 @@
 """Secret scans with an incremental ledger of blobs.
 
 Every version of every path is addressed by the SHA-256 of its content. A ledger, a Parquet table that only
-grows, says which pair of blob and rule version has been scanned and what was found; a run scans the pairs
-that it lacks, once each, and joins the findings back to all paths. Built-in expressions only.
+grows, says which pairs of blob and rule version have been scanned and what was found; a run scans the pairs
+that it lacks, once each, and joins the findings back to all paths. A rule that changes or comes new is looked for in
+all blobs, the others are not looked for again. Built-in expressions only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaystat.llm.common import new_path
+from quaystat.llm.common import free_name, new_path
 
 #: (kind, pattern, group whose length counts, least length, a text that every match holds or None). A match
 #: that is too short is dropped after matching: the search goes on behind it.
@@ -30,17 +31,17 @@ ADDED: tuple[tuple[str, str, int, int, str | None], ...] = (
 )
 RULES = BASE + ADDED
 
-_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
-_LEDGER = f"blob string, rules string, spans {_SPANS}"
+_SPANS = "array<struct<start:int,end:int,rule:string>>"
+_LEDGER = f"blob string, rules array<string>, spans {_SPANS}"
 
 
-def rule_version(rules=RULES) -> str:
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+def rule_version(rule: tuple[str, str, int, int, str | None]) -> str:
+    return hashlib.sha256(repr(rule).encode()).hexdigest()[:16]
 
 
-def _found(text: Column, rank: int, rule: tuple[str, str, int, int, str | None]) -> Column:
-    """Spans of one rule in code points: the pieces between matches and the matches give all lengths."""
-    kind, pattern, group, least, holds = rule
+def _found(text: Column, asked: Column, rule: tuple[str, str, int, int, str | None]) -> Column:
+    """Spans of one rule in code points, if it is asked for: the pieces between matches and the matches give all lengths."""
+    _, pattern, group, least, holds = rule
     pat = F.lit(pattern)
     match, counted, piece = F.regexp_extract_all(text, pat, F.lit(0)), F.regexp_extract_all(text, pat, F.lit(group)), F.split(text, pattern, -1)
     parts = F.arrays_zip(match.alias("m"), counted.alias("c"), F.slice(piece, F.lit(1), F.size(match)).alias("p"))
@@ -50,38 +51,41 @@ def _found(text: Column, rank: int, rule: tuple[str, str, int, int, str | None])
         lambda a, x: F.struct(
             (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
             F.when(F.length(x["c"]) < least, a["out"])
-            .otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), F.lit(rank).alias("rank"), (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind")))))
+            .otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), F.lit(rule_version(rule)).alias("rule")))))
             .alias("out"),
         ),
         lambda a: a["out"],
     )
     there = text.rlike(pattern) if holds is None else F.contains(text, F.lit(holds)) & text.rlike(pattern)
-    return F.when(there, walked).otherwise(F.array().cast(_SPANS))
-
-
-def spans(text: Column, rules=RULES) -> Column:
-    """All spans, by start and then by the order of the kinds."""
-    return F.sort_array(F.concat(*(_found(text, k, r) for k, r in enumerate(rules))))
+    return F.when(asked & there, walked).otherwise(F.array().cast(_SPANS))
 
 
 def scan_versions(versions: DataFrame, ledger: str, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows of `versions` (any path, commit or id columns) with `blob` and `spans` added or replaced.
 
-    Scans the blobs that the ledger has not under this rule version and appends them to it. A null text is the
-    empty blob. Equal texts are one blob; null ids and repeated rows keep their rows. Very long texts are read whole.
+    Scans the pairs of blob and rule version that the ledger has not and appends them to it. spans: (start, rank, end,
+    kind) by start and then by the order of the rules. A null text is the empty blob. Equal texts are one blob; null ids
+    and repeated rows keep their rows; other columns may have any name. Very long texts are read whole.
     """
-    spark, version = versions.sparkSession, rule_version(rules)
+    spark, own = versions.sparkSession, [rule_version(r) for r in rules]
+    current = F.array(*map(F.lit, own))
     spark.createDataFrame([], _LEDGER).write.mode("append").parquet(ledger)  # it exists from here on
     text = F.coalesce(versions[text_col], F.lit(""))
     blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    seen = spark.read.schema(_LEDGER).parquet(ledger).filter(F.col("rules") == version)
-    unseen = blobs.join(seen.select("blob"), "blob", "left_anti")
-    unseen.select("blob", F.lit(version).alias("rules"), spans(F.col("text"), rules).alias("spans")).write.mode("append").parquet(ledger)
-    found = spark.read.schema(_LEDGER).parquet(ledger).filter((F.col("rules") == version) & (F.size("spans") > 0))
-    found = found.groupBy(F.col("blob").alias("__blob")).agg(F.first("spans").alias("__spans"))
+    scanned = spark.read.schema(_LEDGER).parquet(ledger).groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
+    left = F.array_except(current, F.coalesce("seen", F.array().cast("array<string>")))
+    unseen = blobs.join(scanned, "blob", "left").select("blob", "text", left.alias("rules")).filter(F.size("rules") > 0)
+    found = F.concat(*(_found(F.col("text"), F.array_contains("rules", v), r) for v, r in zip(own, rules)))
+    unseen.select("blob", "rules", found.alias("spans")).write.mode("append").parquet(ledger)
+    blob, spans = free_name(versions, "__blob"), free_name(versions, "__spans")
+    hits = spark.read.schema(_LEDGER).parquet(ledger).select("blob", F.filter("spans", lambda x: F.array_contains(current, x["rule"])).alias("spans")).filter(F.size("spans") > 0)
+    kinds = F.array(*(F.lit(r[0]) for r in rules))
+    rank = lambda x: (F.array_position(current, x["rule"]) - 1).cast("int")
+    whole = F.transform(F.array_distinct(F.flatten(F.collect_list("spans"))), lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), F.get(kinds, rank(x)).alias("kind")))
+    hits = hits.groupBy(F.col("blob").alias(blob)).agg(F.sort_array(whole).alias(spans))
     paths = versions.drop("blob", "spans").withColumn("blob", F.sha2(text, 256))
-    out = paths.join(found, paths["blob"] == found["__blob"], "left").withColumn("spans", F.coalesce("__spans", F.array().cast(_SPANS)))
-    return out.drop("__blob", "__spans")
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    return paths.join(hits, paths["blob"] == hits[blob], "left").withColumn("spans", F.coalesce(spans, none)).drop(blob, spans)
 
 
 def _listed(s: Column) -> Column:

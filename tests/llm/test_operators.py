@@ -97,9 +97,17 @@ def test_secret_ledger_scans_once(spark, tmp_path):
     got = {(r.path, r.version): [s.kind for s in r.spans] for r in secrets.scan_versions(new, ledger).collect()}
     assert got == {("a.txt", "v1"): ["assign"], ("b.txt", "v1"): [], ("c.txt", "v2"): ["assign"], ("a.txt", "v2"): ["access"]}
     assert spark.read.parquet(ledger).count() == 3
-    other = secrets.BASE[:1]
-    secrets.scan_versions(new, ledger, rules=other).count()
-    assert spark.read.parquet(ledger).count() == 6
+    secrets.scan_versions(new, ledger, rules=secrets.BASE[:1]).count()
+    assert spark.read.parquet(ledger).count() == 3  # that rule has seen all blobs
+    more = (*secrets.BASE, ("note", "not[a-z]+", 0, 4, "not"))
+    got = {r.path: [s.kind for s in r.spans] for r in secrets.scan_versions(new.filter("version = 'v1'"), ledger, rules=more).collect()}
+    assert got == {"a.txt": ["assign"], "b.txt": ["note"]}
+    again = spark.read.parquet(ledger).filter("size(rules) = 1")
+    assert again.count() == 2  # only the new rule was looked for
+    clash = new.withColumn("__blob", F.lit(1)).withColumn("__spans", F.lit(None).cast("string")).withColumn("text", F.when(F.col("path") != "b.txt", F.col("text")))
+    out = secrets.scan_versions(clash, ledger)
+    assert {"__blob", "__spans"} < set(out.columns) and out.count() == 4
+    assert secrets.scan_versions(new.limit(0), ledger).count() == 0
 
 
 def test_quality(spark, frame, docs):
@@ -112,6 +120,7 @@ def test_quality(spark, frame, docs):
     assert got == by_text(con.execute(quality.oracle_sql()).fetchall())
     assert quality.keep_good(frame).columns == frame.columns
     assert quality.keep_good(frame).count() == sum(r[-1] for r in got)
+    assert quality.score(frame).filter("kept and n_words > 30").count() == sum(r[-1] and r[1] > 30 for r in got)
     assert quality.score(frame.limit(0)).count() == 0
 
 
@@ -157,11 +166,31 @@ def test_token_codes(spark, frame, docs, tmp_path):
     codes = token_codes.read_codes(spark.read.parquet(out))
     assert rows(token_codes.decode(codes)) == by_text(want)
     places = [0, 1, 77, len(stream) // 2, len(stream) - 1]
+    again = token_codes.tokens_at(codes, spark.createDataFrame([(5,), (5,), (None,)], "place long"))
+    assert sorted(map(tuple, again.collect())) == [(5, stream[5])] * 2
     got = dict(rows(token_codes.tokens_at(codes, spark.createDataFrame([(p,) for p in [*places, len(stream), -1]], "place long"))))
     assert got == {p: stream[p] for p in places}
     assert token_codes.round_trip(frame.limit(0), path).count() == 0
 
 
+def test_codes_are_those_of_the_library():
+    """Special tokens, letters that lower-casing changes, marks, odd spaces: ids as the library gives them."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, coder, rng = Tokenizer.from_file(path), token_codes.WordCoder(path), random.Random(3)
+    parts = ["a", "B", "\u00e9", "\u0130", "\u00df", "\u03a3", "\u01f0", "\u0307", "\u0301", "1", "\u0663", "\u00b2", ".", ",", "!", "|", "'", "'s", "'T", " ", "\n", "\u00a0", "\u2003", "\x1c", "<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "\u65e5\u672c", "\U0001f642", "\ufb01", "\u1100", "\u1161", "\x00", "-", "\u212a"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    got = coder.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = token_codes.WordCoder(path, special_as_text=True)
+    tok.encode_special_tokens = True
+    assert np.frombuffer(plain.encode(["a <|endoftext|>"])[0], "<u4").tolist() == tok.encode("a <|endoftext|>", add_special_tokens=False).ids
+
+
 def test_codes_of_any_width():
     ids = np.array([0, 255, 256, 65535, 65536, 2**32 - 1, *range(3000)], np.uint32)
     levels = token_codes.encode_levels(ids)
@@ -179,6 +208,10 @@ def test_lattice(frame, docs, monkeypatch):
     assert rows(got, *cols) == by_text(w[:5] for w in want)
     assert sorted(r.base_score for r in got.collect()) == pytest.approx(sorted(w[5] for w in want), rel=1e-9)
     assert all(r.score < 0 for r in got.collect())
+    few = [r for r in docs if len(r[1] or "") < 3000][:40] + [(9101, "naïve 日本 🙂 İx"), (9102, None), (None, "one two")]
+    got = lattice_lm.score(frame.sparkSession.createDataFrame(few, "doc_id long, text string"), lattice_lm.vocabulary())
+    want = brute.lattice_scores(few, lattice_lm.vocabulary(), lattice_lm.STEPS)
+    assert sorted(r.score for r in got.collect()) == pytest.approx(sorted(s for _, s in want), rel=1e-9)
     assert lattice_lm.score(frame.limit(0), lattice_lm.vocabulary()).count() == 0
 
 
@@ -243,3 +276,24 @@ def test_html_decoding_has_no_contradictions():
     for seed in range(20):
         keep = p.chosen(np.random.default_rng(seed).normal(size=len(p.tag)))
         assert all(keep[p.parent[i]] for i in range(1, len(keep)) if keep[i])
+
+
+def test_oracles_on_small_tables(spark, docs, tmp_path):
+    """The SQL of the operators that have some, on rows with unique ids."""
+    import duckdb
+
+    from quaystat.llm.queries import ORACLES, QUERIES
+
+    own = {i: (i, t) for i, t in docs if i is not None}
+    df = spark.createDataFrame(list(own.values()), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ORACLES:
+        got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLES[name]).df()
+        cols = sorted(got.columns)
+        assert cols == sorted(want.columns), name
+        assert sorted(map(str, got[cols].itertuples(index=False, name=None))) == sorted(map(str, want[cols].itertuples(index=False, name=None))), name
