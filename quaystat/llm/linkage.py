@@ -2,38 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystat.llm.common import written
 
 MAX_ROUNDS = 60
-#: A node with more than one in HOT of all edges, and with more than FEW of them, gets its minimum by broadcast:
-#: at most HOT rows. Its edges stay where they are instead of meeting in one task.
-HOT, FEW = 512, 200
+#: Of more than MANY edges, a node with more than one in HOT of them gets its minimum by broadcast (HOT rows at most):
+#: its edges stay where they are instead of meeting in one task.
+MANY, HOT = 1 << 20, 512
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges (a, b); root: the smallest node that can be reached.
 
-    Large-star and small-star steps in turn (each a group-by and a join), written to the shared folder
-    after each round, until the edges are stars round their roots. Empty edges give no rows; loops,
-    repeated and reversed edges do no harm.
+    Large-star and small-star steps in turn, written to the shared folder after each round, until the edges are stars
+    round their roots. Empty edges give no rows; loops, repeated and reversed edges do no harm.
     """
 
-    def star(e: DataFrame, large: bool, bound: int) -> DataFrame:
-        """Every node's neighbours are tied to the smallest of them (or the node itself)."""
-        e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c"))
-        hot = F.broadcast(low.filter(F.col("c") > bound).select("a", F.col("m").alias("hot")))
-        near = e.join(hot, "a", "left")
-        got = near.filter("hot is null").select("a", "b").join(low.filter(F.col("c") <= bound).select("a", "m"), "a")
-        got = got.unionByName(near.filter("hot is not null").select("a", "b", F.col("hot").alias("m")))
-        if large:
-            got = got.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            got = got.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        return got.filter(F.col("a") != F.col("b")).distinct()
+    def lowest(e: DataFrame, bound: int | None) -> DataFrame:
+        """(a, b, m): m is the smallest of a and its neighbours."""
+        own = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
+        if bound is None:
+            return e.select("a", "b", own.alias("m"))
+        hot = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hot"), F.count("*").alias("c")).filter(F.col("c") > bound)
+        near = e.join(F.broadcast(hot.select("a", "hot")), "a", "left")
+        return near.filter("hot is null").select("a", "b", own.alias("m")).unionByName(near.filter("hot is not null").withColumnRenamed("hot", "m"))
+
+    def step(e: DataFrame, bound: int | None) -> DataFrame:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = lowest(both, bound).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = lowest(large.filter("a > b"), bound)
+        ties = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b"))))
+        return small.select(ties.alias("t")).select("t.a", "t.b").filter("a <> b").distinct()
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.max(F.xxhash64("b", "a"))).first())
@@ -43,8 +44,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        bound = max(FEW, 2 * before[0] // HOT)
-        e = written(star(written(star(e, True, bound), name), False, bound), name)
+        e = written(step(e, 2 * before[0] // HOT if before[0] > MANY else None), name)
         now = state(e)
         if now == before:
             break
