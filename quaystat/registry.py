@@ -1,9 +1,9 @@
 """All queries of the library by name, with their oracles."""
 
-from quaystat.operators import gold, governance, pipeline, search, semantic
+from quaystat.operators import catalogue, gold, governance, pipeline, search, semantic
 from quaystat.plans import extended
 from quaystat.plans import queries as plans
 
-_PARTS = (plans, extended, pipeline, semantic, governance, gold, search)
+_PARTS = (plans, extended, pipeline, semantic, governance, gold, catalogue, search)
 QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in (part.SQL if part in (plans, extended) else part.ORACLES).items()}
