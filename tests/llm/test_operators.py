@@ -268,6 +268,11 @@ def test_html(spark):
         good += q.text(q.chosen(trees.score(q.features()))) == want
         n += 1
     assert good >= 0.85 * n
+    long = "<html><body><nav><a href=x>menu</a></nav><article>" + "<p>Some words of a long page, and more of them.</p>" * 3000 + "</article></body></html>"
+    more = spark.createDataFrame([(7, "u", long, "kept", 1), (7, "u", long, "kept", 1), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    out = html_text.extract(more, trees=trees).collect()
+    assert [r.page_id for r in out].count(7) == 2 and len({r.text for r in out if r.page_id == 7}) == 1
+    assert max(r.n_chars for r in out) > 100_000 and all(r.n_chars == len(r.text) for r in out)
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
