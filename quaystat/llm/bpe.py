@@ -23,7 +23,7 @@ from quaystat.llm.common import ship
 
 NONE = 1 << 40  # above every rank
 #: Pieces and chunks kept per worker with their codes; a table is emptied when full, so memory is bounded.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 350_000
 #: Characters of text whose new pieces are merged together.
 CHUNK_CHARS = 1 << 20
 #: Leaves of the array trees; a longer piece gets its own tree.
