@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystat.llm import bpe, decontaminate, html_text, lattice_lm, line_dedup, near_dup, quality, secrets, substring_dedup, token_codes
+from quaystat.llm import bpe, decontaminate, hard_negatives, html_text, lattice_lm, line_dedup, near_dup, quality, secrets, simhash, substring_dedup, token_codes, whitening
 from quaystat.llm.common import table
 
 
@@ -53,5 +53,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_token_codes": op1_token_codes, "op2_html_text": op2_html_text, "op3_lattice_lm": op3_lattice_lm, "op4_line_dedup": op4_line_dedup, "op5_secrets": op5_secrets, "op6_substring_dedup": op6_substring_dedup, "op7_quality_rules": op7_quality_rules, "op8_near_dup": op8_near_dup, "op9_byte_bpe": op9_byte_bpe, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {"op5_secrets": secrets.oracle_sql(), "op6_substring_dedup": substring_dedup.oracle_sql(), "op7_quality_rules": quality.oracle_sql(), "op8_near_dup": near_dup.oracle_sql(), "op10_decontaminate": decontaminate.oracle_sql()}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_codes, op2_html_text, op3_lattice_lm, op4_line_dedup, op5_secrets, op6_substring_dedup, op7_quality_rules, op8_near_dup, op9_byte_bpe, op10_decontaminate, op11_simhash, op12_whitening, op13_hard_negatives)
+}
+ORACLES: dict[str, str] = {
+    "op5_secrets": secrets.oracle_sql(),
+    "op6_substring_dedup": substring_dedup.oracle_sql(),
+    "op7_quality_rules": quality.oracle_sql(),
+    "op8_near_dup": near_dup.oracle_sql(),
+    "op10_decontaminate": decontaminate.oracle_sql(),
+    "op13_hard_negatives": hard_negatives.oracle_sql(),
+}
