@@ -69,6 +69,7 @@ class Block:
     def __init__(self, t: pa.Table):
         t = t.combine_chunks()
         self.uid, self.id, self.label = (t[c].to_numpy() for c in ("uid", "id", "label"))
+        self.order = np.unique(self.id, return_inverse=True)[1]
         self.x = np.frombuffer(b"".join(t["x"].to_pylist()), np.int32).reshape(t.num_rows, -1).astype(np.int64)
         if "code" in t.column_names:
             self.code = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1).T.copy()
@@ -101,7 +102,7 @@ def at_least(values: np.ndarray, k: int) -> np.ndarray:
 
 def first(a: np.ndarray, r: np.ndarray, s: np.ndarray, rows: Block, k: int) -> np.ndarray:
     """Places of the k best pairs of each anchor: by falling score, then id."""
-    order = np.lexsort((rows.uid[r], rows.id[r], -s, a))
+    order = np.lexsort((rows.uid[r], rows.order[r], -s, a))
     a = a[order]
     start = np.searchsorted(a, a)
     return order[np.arange(len(a)) - start < k]

@@ -93,7 +93,7 @@ def whiten(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k:
     ship(df.sparkSession)
     rows, d = one_length(quantised(df, id_col, vec_col, SCALE, SHIFT), "whitening-rows")
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    schema = f"`{id_col}` {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
     fit = written(rows.select("x").distinct(), "whitening-fit")
 
     n = fit.count()
