@@ -61,3 +61,21 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in have:
         wish += "_"
     return wish
+
+
+#: Names of text_key()'s columns.
+KEY = ("__k1", "__k2")
+
+
+def text_key(col) -> list:
+    """Two hashes of a text: with the id they tell rows apart that share an id."""
+    return [F.xxhash64(col).alias(KEY[0]), F.xxhash64(col, F.lit(1)).alias(KEY[1])]
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df whose (id_col, text_col) is not in gone, which has id_col and the text_key; rows with a null id stay."""
+    names = {c: free_name(df, f"__gone{k}") for k, c in enumerate((id_col, *KEY))}
+    gone = gone.select(*(F.col(c).alias(n) for c, n in names.items())).distinct()
+    a, b = text_key(df[text_col])
+    same = (df[id_col] == gone[names[id_col]]) & (a == gone[names[KEY[0]]]) & (b == gone[names[KEY[1]]])
+    return df.join(gone, same, "left_anti")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystat.llm.common import free_name, ship, written
+from quaystat.llm.common import KEY, ship, text_key, without, written
 from quaystat.llm.words import Words, chunks, ranges
 
 SPAN, K = 13, 8
@@ -88,7 +88,7 @@ def _find(texts: list[str | None], span: int, k: int, short: tuple[int, ...] | N
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, span: int, k: int, short=None, bits=None) -> DataFrame:
-    """(id, n_words, hits) for each row; no shuffle. short, bits: see _find; bits is a broadcast."""
+    """(id, text key, n_words, hits) for each row; no shuffle. short, bits: see _find; bits is a broadcast."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +97,11 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, span: int, k: int, s
             texts = b.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 n, hits = zip(*_find(texts[lo:hi], span, k, short, table))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(hits, pa.list_(_HIT))], ["id", "n_words", "hits"])
+                own = [b.column(c).slice(lo, hi - lo) for c in ("id", *KEY)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(hits, pa.list_(_HIT))], ["id", *KEY, "n_words", "hits"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, n_words long, hits {_HIT_SQL}")
+    cols = df.select(F.col(id_col).alias("id"), text_col, *text_key(df[text_col]))
+    return cols.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, {KEY[0]} long, {KEY[1]} long, n_words long, hits {_HIT_SQL}")
 
 
 def filter_bits(prints: DataFrame) -> bytes:
@@ -133,6 +135,12 @@ def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     and repeated rows each keep their row. Very long texts are read whole. With an empty benchmark all
     documents are clean.
     """
+    found = _contamination(df, bench, id_col, text_col, item_col, item_text_col, span, k, percent)
+    return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _contamination(df: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, span: int, k: int, percent: int) -> DataFrame:
+    """The rows of contamination(), with the text key; the id is called id."""
     spark = df.sparkSession
     prints = fingerprints(bench.filter(bench[item_col].isNotNull()), item_col, item_text_col, span, k)
     prints = written(prints.select(F.col("id").cast("string").alias("item"), F.explode("hits").alias("h")).select("item", "h.fp", "h.n", "h.whole", F.col("h.off").alias("ioff"), F.col("h.ctx").alias("ictx")).distinct(), "bench-prints")
@@ -165,16 +173,19 @@ def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     )
     per = per.select("rid", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items"))
     zero = F.lit(0).cast("long")
-    out = docs.select("rid", "id", "n_words").join(per, "rid", "left").select("id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"))
+    out = docs.select("rid", "id", *KEY, "n_words").join(per, "rid", "left").select("id", *KEY, "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"))
     bad = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), bad.alias("contaminated"))
+    return out.select("id", *KEY, "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), bad.alias("contaminated"))
 
 
-def drop_contaminated(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose document is not contaminated, with all their columns."""
-    key = free_name(df, "__gone")
-    gone = contamination(df, bench, id_col, text_col).filter("contaminated").select(F.col(id_col).alias(key)).distinct()
-    return df.join(gone, df[id_col] == gone[key], "left_anti")
+def drop_contaminated(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows that are not contaminated, with all their columns.
+
+    A row goes by its id and text: of rows that share an id each stays or goes by its own text. Rows with a null id stay, as
+    do null and empty texts. With an empty benchmark all rows stay.
+    """
+    found = _contamination(df, bench, id_col, text_col, item_col, item_text_col, SPAN, K, 5)
+    return without(df, found.filter("contaminated").select(F.col("id").alias(id_col), *KEY), id_col, text_col)
 
 
 def oracle_sql(span: int = SPAN, percent: int = 5) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystat.llm.common import free_name, ship, written
+from quaystat.llm.common import KEY, ship, text_key, without, written
 from quaystat.llm.linkage import components
 from quaystat.llm.words import Words, chunks, mix, ranges
 
@@ -63,7 +63,7 @@ def sub_keys(sets: list[np.ndarray], side: int = SIDE, rows: int = ROWS) -> np.n
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, k: int, side: int, rows: int) -> DataFrame:
-    """(id, n, skey, subs) for each row; no shuffle."""
+    """(id, text key, n, skey, subs) for each row; no shuffle."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,16 +75,17 @@ def signatures(df: DataFrame, id_col: str, text_col: str, k: int, side: int, row
                 subs = iter(sub_keys(full, side, rows).tolist() if full else ())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo),
+                        *(batch.column(c).slice(lo, hi - lo) for c in ("id", *KEY)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_key(s) for s in sets], pa.binary()),
                         pa.array([next(subs) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["id", "n", "skey", "subs"],
+                    ["id", *KEY, "n", "skey", "subs"],
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, skey binary, subs array<long>")
+    cols = df.select(F.col(id_col).alias("id"), text_col, *text_key(df[text_col]))
+    return cols.mapInArrow(run, f"id {kind}, {KEY[0]} long, {KEY[1]} long, n long, skey binary, subs array<long>")
 
 
 def confirmed(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -129,6 +130,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     their own component and kept. Rows that share an id are the same document: they name the same component if
     their texts agree. Repeated rows each keep their row. Very long texts are read whole.
     """
+    named = _classes(df, id_col, text_col, k, percent, side, rows, block)
+    return named.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, side: int, rows: int, block: int) -> DataFrame:
+    """The rows of classes(), with the text key; the id is called id."""
     ship(df.sparkSession)
     sigs = written(signatures(df, id_col, text_col, k, side, rows), "near-signatures")
     nodes = sigs.filter((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("skey").agg(F.min("id").alias("rep"), F.first("subs").alias("subs"))
@@ -169,13 +176,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     named = written(named.select("skey", root.alias("root")).join(name, "root").select("skey", "component"), "near-names")
     out = sigs.drop("subs").join(named, "skey", "left")
     comp = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+    return out.select("id", *KEY, F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """The rows whose document stands for its group, with all their columns."""
-    gone = classes(df, id_col, text_col, percent=percent).filter(~F.col("kept")).select(F.col(id_col).alias(key := free_name(df, "__gone"))).distinct()
-    return df.join(gone, df[id_col] == gone[key], "left_anti")
+    """The rows that classes() keeps, with all their columns.
+
+    A row goes by its id and text: of rows that share an id each stays or goes by its own text. Rows with a null id, a null or
+    empty text or one without words stay; of an id's repeated rows all stay or all go. An empty table stays empty.
+    """
+    found = _classes(df, id_col, text_col, SHINGLE, percent, SIDE, ROWS, BLOCK)
+    return without(df, found.filter(~F.col("kept")).select(F.col("id").alias(id_col), *KEY), id_col, text_col)
 
 
 def oracle_sql(k: int = SHINGLE, percent: int = 85) -> str:
