@@ -1,6 +1,10 @@
 """From raw documents to token digests: quality rules, line dedup, near-dedup, decontamination, byte-level BPE.
 
 Every stage takes all that its predecessor kept; all but the last return the columns of documents.
+
+Rows that share an id are rows of their own in every stage: each stays or goes by its own text. A null or empty text, or one
+without words, goes with the quality rules. A row with a null id links nothing, loses no lines and stays. Of repeated
+rows all stay or all go. Columns of any names are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
