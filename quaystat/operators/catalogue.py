@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaystat.functions import domain, rules
-from quaystat.operators.gold import scratch, without_stale
+from quaystat.operators.gold import without_stale
 from quaystat.operators.pipeline import upsert
 from quaystat.sources import mart
 from quaystat.sources.mart import SQL, read
+from quaystat.store import scratch
 
 
 def with_row_index(df: DataFrame, order: str, name: str = "row_index") -> DataFrame:

@@ -110,13 +110,15 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric.unionByName(data).unionByName(place)
 
 
-def hybrid_search(docs: DataFrame, query: str, vector: list[float] | None = None, synonyms: dict[str, list[str]] | None = None, user: str | None = None, investigation: str | None = None, access: DataFrame | None = None, filters: dict | None = None, today: str = "2002-01-01", weights: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
+def hybrid_search(docs: DataFrame, query: str, vector: list[float] | None = None, synonyms: dict[str, list[str]] | None = None, user: str | None = None, investigation: str | None = None, access: DataFrame | None = None, filters: dict | None = None, today: str = "2002-01-01", weights: dict[str, float] | None = None, limit: int | None = None, words: DataFrame | None = None) -> DataFrame:
     """The best documents by exact code, words, vector and boosts, with the parts of each score and its reason.
 
     access: (investigation, user). Private documents are their author's, documents of an investigation its members'.
     filters: dataset_code, object_types, source_quality, strict_gold_only, year, updated_after; those not given hold for all.
     The lexical part is cover (the mean over the query's groups of the weight of the best field, if all are found and
     nothing excluded is) and shares of words found as parts of the text. Without a vector only words count.
+    words: inverted.lexical() of an index of the documents, which then stands for the lexical part: cover density by positions, and no
+    document's text is cut into words.
     """
     w, f = {**WEIGHTS, **(weights or {})}, filters or {}
     own, expanded = query_terms(query, synonyms)
@@ -125,7 +127,7 @@ def hybrid_search(docs: DataFrame, query: str, vector: list[float] | None = None
     code, title, subtitle = F.lower(F.coalesce("object_code", none)), F.lower(F.coalesce("title", none)), F.lower(F.coalesce("subtitle", none))
     if access is None:
         access = docs.sparkSession.createDataFrame([], "investigation string, user string")
-    member = F.broadcast(access.filter(F.col("user") == (user or "")).select(F.col("investigation").alias("own_investigation")).distinct())
+    member = access.filter(F.col("user") == (user or "")).select(F.col("investigation").alias("own_investigation")).distinct()
     seen = docs.join(member, F.col("investigation") == F.col("own_investigation"), "left")
     mine = (F.col("visibility") == "private") & F.coalesce(F.col("author") == F.lit(user), F.lit(False))
     held = F.col("own_investigation").isNotNull() & (F.col("investigation") == F.lit(investigation))
@@ -169,8 +171,14 @@ def hybrid_search(docs: DataFrame, query: str, vector: list[float] | None = None
     recency = F.when(age < 30, w["recent"]).when(age < 180, w["fairly_recent"]).otherwise(0.0)
     quality = F.coalesce(*(F.when(F.col("source_quality") == q, w[q]) for q in ("curated", "source", "generated")), F.lit(0.0))
     popular = F.least(F.coalesce("popularity", F.lit(0.0)), F.lit(100.0)) / 100 * w["popularity"]
+    terms = has(text("title", "subtitle", "description", "searchable", "object_code", "dataset_code", "synonyms"), expanded)
+    if words is not None:
+        own_words = words.select("document_id", F.col("cover").alias("w_cover"), F.col("any_hit").alias("w_any"), F.col("lexical_score").alias("w_lexical"), F.col("terms").alias("w_terms"))
+        seen = seen.join(own_words, "document_id", "left")
+        cover, any_term, lexical = F.coalesce("w_cover", F.lit(0.0)), F.coalesce("w_any", F.lit(False)), F.coalesce("w_lexical", F.lit(0.0))
+        terms = F.coalesce("w_terms", F.array().cast("array<string>"))
     candidate = (cover > 0) | any_term | (exact > 0) | F.lit(bool(vector)) & F.col("embedding").isNotNull()
-    out = seen.filter(candidate).withColumns({"exact_match_score": exact, "lexical_score": lexical, "vector_score": similar, "object_type_boost": kind, "investigation_boost": context, "recency_boost": recency, "boost": quality + popular, "terms": has(text("title", "subtitle", "description", "searchable", "object_code", "dataset_code", "synonyms"), expanded)})
+    out = seen.filter(candidate).withColumns({"exact_match_score": exact, "lexical_score": lexical, "vector_score": similar, "object_type_boost": kind, "investigation_boost": context, "recency_boost": recency, "boost": quality + popular, "terms": terms})
     score = F.col("exact_match_score") * w["exact"] + F.col("lexical_score") * w["lexical"] + F.col("vector_score") * w["vector"] + F.col("object_type_boost") + F.col("investigation_boost") + F.col("recency_boost") + F.col("boost")
     reason = F.when(F.col("exact_match_score") >= 1, "Exact identifier match").when(F.size("terms") > 0, F.concat(F.lit("Matched keyword: "), F.get("terms", F.lit(0)))).when(F.col("vector_score") > 0, "Semantically similar metadata").when(F.col("investigation_boost") > 0, "Used in the current investigation").otherwise("Ranked catalogue result")
     action = F.when(F.col("object_type") == "dataset", "open_dataset").when(F.col("object_type") == "metric", "inspect_metric").when(F.col("object_type") == "geography", "open_entity").otherwise("open")
@@ -197,14 +205,14 @@ def hybrid_search_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOT = "list_sum(list_transform(range(1, 65), lambda k: embedding[k]::DOUBLE * CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END))"
 
 
-def _hybrid(own: list[str], expanded: list[str], groups: list[str], excluded: list[str], query: str, vector: str, user: str, investigation: str | None, where: str, by_vector: bool) -> str:
-    """DuckDB SQL of hybrid_search() for a query of single words."""
+def _hybrid(own: list[str], expanded: list[str], groups: list[str], excluded: list[str], query: str, vector: str, user: str, investigation: str | None, where: str, by_vector: bool, ctes: str = "", cover: str | None = None) -> str:
+    """DuckDB SQL of hybrid_search() for a query of single words. cover: another lexical cover, from further views over d."""
     lit = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
     inv = f"'{investigation}'" if investigation else "NULL"
     field = {c: rf"regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+')" for c in FIELD_WEIGHTS}
     best = lambda t: "greatest(" + ", ".join(f"CASE WHEN list_contains({v}, '{t}') THEN {FIELD_WEIGHTS[c]}::DOUBLE ELSE 0 END" for c, v in field.items()) + ")"
     ok = " AND ".join([f"{best(t)} > 0" for t in groups] + [f"{best(t)} = 0" for t in excluded])
-    cover = f"CASE WHEN {ok} THEN ({' + '.join(best(t) for t in groups)}) / {len(groups)} ELSE 0 END"
+    cover = cover or f"CASE WHEN {ok} THEN ({' + '.join(best(t) for t in groups)}) / {len(groups)} ELSE 0 END"
     has = lambda text, xs: f"list_filter({lit(xs)}, lambda t: contains({text}, t))"
     ws = lambda *c: f"lower(concat_ws(' ', {', '.join(c)}))"
     rest = "'generated' AS source_quality, 10.0 AS popularity, 'global' AS visibility, NULL AS author, NULL AS investigation, 'gold' AS trusted_layer, DATE '2001-12-01' AS updated, 1990 AS year_start, 1996 AS year_end, NULL AS embedding"
@@ -215,7 +223,7 @@ WITH d AS (SELECT 'metric:' || p_partkey AS document_id, 'metric' AS object_type
   CASE WHEN p_partkey % 2 = 0 THEN 'curated' ELSE 'source' END AS source_quality, (p_partkey % 150)::DOUBLE AS popularity, CASE p_partkey % 7 WHEN 0 THEN 'private' WHEN 1 THEN 'shared' ELSE 'global' END AS visibility, CASE WHEN p_partkey % 7 = 0 THEN 'u' || p_partkey % 3 END AS author, CASE WHEN p_partkey % 7 = 1 THEN 'i' || p_partkey % 4 END AS investigation,
   CASE WHEN p_partkey % 5 = 0 THEN 'silver' ELSE 'gold' END AS trusted_layer, DATE '2001-01-01' + (p_partkey % 365)::INT AS updated, 1995 AS year_start, 2001 AS year_end, embedding FROM part LEFT JOIN embeddings ON vec_id = p_partkey
   UNION ALL SELECT 'dataset:' || s_suppkey, 'dataset', s_suppkey::VARCHAR, 'S' || s_suppkey, 'SUPPLY', s_name, 'supplier of parts', 'orders and prices', s_name, 'standard vendor', {rest} FROM supplier
-  UNION ALL SELECT 'geography:' || n_nationkey, 'geography', n_nationkey::VARCHAR, n_name, 'SUPPLY', n_name, 'nation', 'a place', n_name, 'country', {rest} FROM nation),
+  UNION ALL SELECT 'geography:' || n_nationkey, 'geography', n_nationkey::VARCHAR, n_name, 'SUPPLY', n_name, 'nation', 'a place', n_name, 'country', {rest} FROM nation),{ctes}
 v AS (SELECT * FROM d WHERE (investigation IS NULL OR {held}) AND (visibility = 'global' OR (visibility = 'private' AND author = '{user}') OR (visibility = 'shared' AND {held})) AND {where}),
 s AS (SELECT *, {cover} AS cover, len({has(ws('searchable', 'title', 'object_code', 'dataset_code', 'synonyms'), expanded)}) > 0 AS any_term,
   CASE WHEN len({has(ws('object_code', 'dataset_code', 'title'), own)}) > 0 THEN 0.2 ELSE 0 END::DOUBLE AS own_term, len({has(ws('title', 'synonyms'), own)}) / {len(own)}::DOUBLE * 0.45 AS share,

@@ -113,6 +113,20 @@ def contract_observation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.join(fact, "observation_key").groupBy("contract").agg(F.count("*").alias("facts"))
 
 
+def review_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks against each measure of the mart, by its profile, and its state in the review."""
+    m = measure_profile(spark, sf_dir)
+    issues = F.array_compact(
+        F.array(
+            F.when(F.col("populated_rows") == 0, "no_populated_facts"),
+            F.when(F.col("default_aggregation") == "none", "unsafe_aggregation"),
+            F.when(F.col("is_non_additive"), "non_additive_metric"),
+            F.when(F.col("missing_rows") > 0, "has_missing"),
+        )
+    )
+    return m.select("measure_code", F.array_join(issues, ",").alias("diagnostics"), F.when(F.size(issues) == 0, "review_candidate").otherwise("profiled").alias("state"))
+
+
 def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze and silver checks of the orders in one aggregate."""
     o = read(spark, sf_dir, "orders")
@@ -150,6 +164,7 @@ ORACLES = {
     "measure_capability": f"WITH {_MEASURE} SELECT measure_code, year_count > 1 AS supports_trend, populated_rows > 0 AS supports_ranking, CASE WHEN populated_rows = 0 THEN 'no_populated_facts' WHEN missing_rows > populated_rows THEN 'partial_sparse' ELSE 'ready' END AS status FROM mp",
     "category_value_contracts": f"WITH {_CATEGORY} SELECT lower('total_price_' || dimension_code || '_' || regexp_replace(category_name, '[^A-Za-z0-9]+', '_', 'g')) AS contract_code, '{{\"' || dimension_code || '\":\"' || category_name || '\"}}' AS filters, 'municipality_year,province_year,country_year' AS grains FROM cp WHERE NOT is_total",
     "contract_observation_index": f"WITH {SQL}, t AS (SELECT p.o_orderstatus AS s, p.o_orderpriority AS p, p.c_mktsegment AS m FROM place p WHERE o_orderstatus <> 'P') SELECT 'urgent_open' AS contract, count(*) AS facts FROM t WHERE s = 'O' AND p = '1-URGENT' UNION ALL SELECT 'building', count(*) FROM t WHERE m = 'BUILDING' UNION ALL SELECT 'open', count(*) FROM t WHERE s = 'O'",
+    "review_diagnostics": f"WITH {_MEASURE} SELECT measure_code, concat_ws(',', CASE WHEN populated_rows = 0 THEN 'no_populated_facts' END, CASE WHEN missing_rows > 0 THEN 'has_missing' END) AS diagnostics, CASE WHEN missing_rows > 0 OR populated_rows = 0 THEN 'profiled' ELSE 'review_candidate' END AS state FROM mp",
     "quality_checks": "SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys, count(*) - count(o_totalprice) AS nulls, CASE WHEN count(*) = 0 THEN 'failed' WHEN count(*) <> count(DISTINCT o_orderkey) OR count(*) <> count(o_totalprice) THEN 'warning' ELSE 'passed' END AS status FROM orders",
     "dataset_facets": "WITH c AS (SELECT o_custkey, count(*) AS n, bool_or(year(o_orderdate) IN (2000, 2001)) AS recent FROM orders GROUP BY 1) SELECT CASE WHEN n < 5 THEN 'small' WHEN n < 15 THEN 'medium' ELSE 'large' END AS size, recent, count(*) AS customers FROM c GROUP BY ALL",
     "null_safe_diff": "SELECT count(*) AS different FROM orders WHERE CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END IS DISTINCT FROM CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END",

@@ -1,9 +1,20 @@
 """All queries of the library by name, with their oracles."""
 
-from quaystat.operators import catalogue, gold, governance, pipeline, search, semantic
+from quaystat.operators import catalogue, gold, governance, indexed, pipeline, search, semantic
 from quaystat.plans import extended
 from quaystat.plans import queries as plans
 
-_PARTS = (plans, extended, pipeline, semantic, governance, gold, catalogue, search)
-QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
-ORACLES: dict = {name: sql for part in _PARTS for name, sql in (part.SQL if part in (plans, extended) else part.ORACLES).items()}
+_PARTS = (plans, extended, pipeline, semantic, governance, gold, catalogue, search, indexed)
+
+
+def _merged(parts: list[dict]) -> dict:
+    out: dict = {}
+    for part in parts:
+        if twice := out.keys() & part.keys():
+            raise ValueError(f"defined twice: {', '.join(sorted(twice))}")
+        out |= part
+    return out
+
+
+QUERIES: dict = _merged([p.QUERIES for p in _PARTS])
+ORACLES: dict = _merged([p.SQL if p in (plans, extended) else p.ORACLES for p in _PARTS])
