@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaystat.plans.categories import BitmapIndex
+
 SHAPES = {"ranking", "comparison", "trend", "trend_by_geography", "category_breakdown", "metric_comparison", "share_of_total", "compare_to_average", "multi_metric_rank", "change_rank"}
 OPERATORS = {"lt": Column.__lt__, "lte": Column.__le__, "gt": Column.__gt__, "gte": Column.__ge__}
 PARENTHESIS = r"\s*\([^)]*\)\s*$"
@@ -65,7 +67,7 @@ def named(col: Column, names: tuple[str, ...]) -> Column:
     return c.isin(want) | F.regexp_replace(c, PARENTHESIS, "").isin([re.sub(PARENTHESIS, "", n) for n in want])
 
 
-def with_categories(fact: DataFrame, bridge: DataFrame, filters: dict[str, tuple[str, ...]]) -> DataFrame:
+def filtered(fact: DataFrame, bridge: DataFrame, filters: dict[str, tuple[str, ...]]) -> DataFrame:
     """Facts that have a wanted category in every filtered dimension: relational division by counting."""
     if not filters:
         return fact
@@ -77,6 +79,9 @@ def with_categories(fact: DataFrame, bridge: DataFrame, filters: dict[str, tuple
     return fact.join(keys.select("observation_key"), "observation_key", "left_semi")
 
 
+with_categories = filtered
+
+
 def _base(plan: Plan, fact: DataFrame, measures: list[str], years: bool = True) -> DataFrame:
     out = fact.filter(F.col("value").isNotNull() & ~F.col("is_missing") & F.col("measure_code").isin(measures))
     if plan.geography_type:
@@ -101,8 +106,15 @@ def _share(n: Column, d: Column, digits: int, factor: int = 1) -> Column:
     return F.round(F.try_divide(n, d) * factor, digits)
 
 
-def compile_plan(plan: Plan, fact: DataFrame, bridge: DataFrame) -> DataFrame:
-    """The DataFrame of a valid plan. Every order is total, every top-k is a limit on it."""
+def compile_plan(plan: Plan, fact: DataFrame, bridge: DataFrame, index: BitmapIndex | None = None) -> DataFrame:
+    """The DataFrame of a valid plan. Every order is total, every top-k is a limit on it.
+
+    index: bitmaps of the bridge; category filters are then bits of the facts' numbers and not a count over the bridge.
+    """
+
+    def with_categories(df: DataFrame, bridge: DataFrame, filters: dict[str, tuple[str, ...]]) -> DataFrame:
+        return index.within(df, filters) if index else filtered(df, bridge, filters)
+
     place = ["geography_name", "geography_code", "geography_type", "calendar_year"]
     base = with_categories(_base(plan, fact, [plan.measure]), bridge, plan.filters)
     if plan.shape == "ranking":

@@ -1,10 +1,10 @@
 """All queries of the library by name, with their oracles."""
 
 from quaystat.operators import catalogue, gold, governance, indexed, pipeline, search, semantic
-from quaystat.plans import extended
+from quaystat.plans import crossed, extended
 from quaystat.plans import queries as plans
 
-_PARTS = (plans, extended, pipeline, semantic, governance, gold, catalogue, search, indexed)
+_PARTS = (plans, extended, crossed, pipeline, semantic, governance, gold, catalogue, search, indexed)
 
 
 def _merged(parts: list[dict]) -> dict:
@@ -17,4 +17,4 @@ def _merged(parts: list[dict]) -> dict:
 
 
 QUERIES: dict = _merged([p.QUERIES for p in _PARTS])
-ORACLES: dict = _merged([p.SQL if p in (plans, extended) else p.ORACLES for p in _PARTS])
+ORACLES: dict = _merged([p.SQL if p in (plans, extended, crossed) else p.ORACLES for p in _PARTS])
