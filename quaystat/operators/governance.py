@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaystat.functions import domain, rules
+from quaystat.operators.hierarchy import ancestors
 from quaystat.operators.semantic import dimension_profile, measure_profile
 from quaystat.sources import mart
 from quaystat.sources.mart import SQL, read
@@ -109,19 +110,15 @@ def indicator_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles from the root to each property, joined by ' > ': parents are followed by joins, each node once.
+    """Titles from the root to each property, joined by ' > ', over all parts and to any depth.
 
     Part k's parent is part k // 10; part 7 is its own parent's child through a loop (7 -> 70 -> 7), which ends where it
     comes back to a seen node.
     """
-    p = read(spark, sf_dir, "part").filter("p_partkey between 1 and 999")
-    node = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("title"), F.when(F.col("p_partkey") == 7, 70).when(F.col("p_partkey") >= 10, F.floor(F.col("p_partkey") / 10)).alias("parent"))
-    up = node.select(F.col("id").alias("node"), F.col("title").alias("above"), F.col("parent").alias("next"))
-    walk = node.select("id", F.array("id").alias("seen"), F.col("title").alias("path"), "parent")
-    for _ in range(3):  # the depth of the tree: a key has three digits
-        walk = walk.join(F.broadcast(up), (F.col("parent") == F.col("node")) & ~F.array_contains("seen", F.col("node")), "left")
-        walk = walk.select("id", F.when(F.col("node").isNotNull(), F.array_append("seen", F.col("node"))).otherwise(F.col("seen")).alias("seen"), F.when(F.col("node").isNotNull(), F.concat_ws(" > ", "above", "path")).otherwise(F.col("path")).alias("path"), F.col("next").alias("parent"))
-    return walk.select("id", "path")
+    k = F.col("p_partkey")
+    parent = F.when(k == 7, 70).when(k >= 10, F.floor(k / 10)).cast("long")
+    nodes = read(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("t"), k.cast("string")).alias("title"), parent.alias("parent"))
+    return ancestors(nodes).select("id", F.array_join("titles", " > ").alias("path"))
 
 
 def dataset_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,8 +252,8 @@ def map_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators of each municipality and year in long form, one row for each code."""
     fact = mart.populated(mart.observations(spark, sf_dir))
     at = lambda m: F.max(F.when(F.col("measure_code") == m, F.col("value"))).cast("double").alias(m)
-    wide = fact.filter("calendar_year = 1997").groupBy("geography_code").agg(*(at(m) for m in mart.MEASURES))
-    return wide.unpivot("geography_code", list(mart.MEASURES), "indicator", "value").filter("value is not null")
+    wide = fact.groupBy("geography_code", "calendar_year").agg(*(at(m) for m in mart.MEASURES))
+    return wide.unpivot(["geography_code", "calendar_year"], list(mart.MEASURES), "indicator", "value").filter("value is not null")
 
 
 def source_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +296,7 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schema_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hash of each brand's parts as a schema; it does not hang on their order."""
-    p = read(spark, sf_dir, "part").filter("p_size <= 10")
+    p = read(spark, sf_dir, "part")
     return p.groupBy("p_brand").agg(F.count("*").alias("properties"), domain.schema_hash(F.collect_list(F.struct(F.col("p_partkey").alias("key"), F.col("p_size").alias("size")))).alias("schema_hash"))
 
 
@@ -312,11 +309,9 @@ def top_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token-hash vectors of names: all of length one."""
-    n = read(spark, sf_dir, "nation").select("n_nationkey", domain.hash_embedding(F.concat(F.lit("the nation "), F.col("n_name"))).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    same = F.exists("v", lambda x: x != 0)
-    return n.select("n_nationkey", F.size("v").cast("long").alias("slots"), F.round(norm, 3).alias("norm"), same.alias("any"))
+    """Token-hash vectors of all parts' names, unit length, by the slots that are not zero."""
+    p = read(spark, sf_dir, "part").select("p_partkey", domain.hash_embedding(F.concat_ws(" ", F.lit("the part"), "p_name", "p_type")).alias("v"))
+    return p.select("p_partkey", F.posexplode("v").alias("slot", "value")).filter("value <> 0").select("p_partkey", F.col("slot").cast("long").alias("slot"), F.round("value", 4).alias("value"))
 
 
 _DS = """d AS (SELECT c_custkey AS dataset_id, lower(c_mktsegment) || ' of ' || c_name AS title, coalesce(n, 0) * 20000 AS loaded, c_custkey % 6 AS dims, c_custkey % 320 + 5 AS props, coalesce(years, 0) AS years, c_mktsegment,
@@ -343,7 +338,7 @@ ORACLES = {
     "silver_coverage": f"WITH {_SC} SELECT k AS dataset_id, bronze AS bronze_rows, silver AS silver_rows, CASE WHEN bronze > 0 THEN least(100, round(silver::DOUBLE / bronze * 100, 2)) END::DOUBLE AS completeness_pct, classification FROM cl",
     "coverage_summary": f"WITH {_SC}, g AS (SELECT classification, count(*) AS n FROM cl GROUP BY 1) SELECT count(*) AS scanned, count(*) FILTER (bronze > 0) AS with_rows, count(*) FILTER (meta) AS metadata_loaded, count(*) FILTER (classification LIKE 'complete%') AS complete, count(*) FILTER (classification IN ('partial', 'failed_partial')) AS partial, count(*) FILTER (classification = 'metadata_only') AS metadata_only, count(*) FILTER (classification = 'not_loaded') AS not_loaded, (SELECT string_agg(classification || '=' || n, ',' ORDER BY classification || '=' || n) FROM g) AS by_class FROM cl",
     "indicator_candidates": "WITH p AS (SELECT lower(p_type) || ' ' || CASE p_size % 4 WHEN 0 THEN '%' WHEN 1 THEN 'aantal' WHEN 2 THEN '2021=100 index' ELSE 'kg' END AS t FROM part), f AS (SELECT regexp_matches(t, '%|percentage|procent') AS is_percentage, contains(t, 'index') AS is_index, regexp_matches(t, 'aantal|number|personen|huishoudens|woningen|bedrijven') AS is_count FROM p) SELECT *, CASE WHEN is_percentage OR is_index THEN false WHEN is_count THEN true END AS is_additive, count(*) AS measures FROM f GROUP BY ALL",
-    "topic_paths": "WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 7 THEN 70 WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent FROM part WHERE p_partkey BETWEEN 1 AND 999), w AS (SELECT id, [id] AS seen, 't' || id AS path, parent FROM n UNION ALL SELECT w.id, list_append(seen, n.id), 't' || n.id || ' > ' || path, n.parent FROM w JOIN n ON n.id = w.parent WHERE NOT list_contains(seen, n.id)) SELECT id, path FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(seen) DESC) = 1",
+    "topic_paths": "WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 7 THEN 70 WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent FROM part), w AS (SELECT id, [id] AS seen, 't' || id AS path, parent FROM n UNION ALL SELECT w.id, list_append(seen, n.id), 't' || n.id || ' > ' || path, n.parent FROM w JOIN n ON n.id = w.parent WHERE NOT list_contains(seen, n.id)) SELECT id, path FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(seen) DESC) = 1",
     "dataset_domains": "SELECT c_custkey AS dataset_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'construction' WHEN 'AUTOMOBILE' THEN 'mobility' WHEN 'HOUSEHOLD' THEN 'home' WHEN 'FURNITURE' THEN 'home' ELSE 'unclassified' END AS domain FROM customer",
     "gold_readiness": f"WITH {_DS}, r AS (SELECT dataset_id, (CASE WHEN c_mktsegment = 'BUILDING' OR dataset_id % 3 = 0 THEN 20 ELSE 0 END + CASE WHEN years > 0 THEN 20 ELSE 0 END + CASE WHEN dataset_id % 2 = 0 OR dataset_id % 3 = 0 OR dataset_id % 5 = 0 THEN 20 ELSE 0 END + CASE WHEN props - dims > 100 THEN 20 ELSE 0 END + CASE WHEN dataset_id % 4 <> 0 AND loaded > 0 THEN 10 ELSE 0 END + CASE WHEN status = 'complete' THEN 10 ELSE 0 END)::BIGINT AS priority_score, CASE WHEN c_mktsegment = 'BUILDING' AND dataset_id % 3 = 0 THEN 'gold.cross_domain_facts' WHEN c_mktsegment = 'BUILDING' THEN 'gold.con_struction_facts' WHEN dataset_id % 3 = 0 THEN 'gold.trade_facts' ELSE 'gold.unclassified_facts' END AS model FROM d) SELECT *, CASE WHEN priority_score >= 80 THEN 'ready_for_gold_candidate' WHEN priority_score >= 50 THEN 'review_before_gold' ELSE 'keep_in_silver' END AS action FROM r",
     "dataset_capability": f"WITH {_CAP}, g AS (SELECT dataset_code, count(*) AS loaded_rows, count(value) AS populated_rows, count(*) - count(value) AS missing_rows, count(DISTINCT measure_code) AS measure_count, count(DISTINCT geography_code) AS geography_count, string_agg(DISTINCT calendar_year, ',' ORDER BY calendar_year) AS years, string_agg(DISTINCT t || '_year', ',' ORDER BY t || '_year') AS grains, count(DISTINCT calendar_year) > 1 AS supports_trend FROM cap GROUP BY 1) SELECT *, true AS supports_ranking, true AS supports_comparison, CASE WHEN populated_rows = 0 THEN 'no_populated_facts' WHEN missing_rows > populated_rows THEN 'partial_sparse' ELSE 'ready' END AS status, CASE WHEN populated_rows = 0 THEN 'no_populated_facts' ELSE '' END AS limits FROM g",
@@ -356,7 +351,7 @@ ORACLES = {
     "review_queue": f"WITH {_REVIEW} SELECT measure, state, priority, row_number() OVER (ORDER BY priority, measure) AS place FROM q WHERE state <> 'profiled' ORDER BY priority, measure LIMIT 150",
     "contract_checks": f"WITH {SQL} SELECT 'c1' AS contract, '' AS errors, (SELECT count(*) FROM bridge WHERE category_name = '1-URGENT') AS facts, true AS passed UNION ALL SELECT 'c2', 'unknown_value', 0, false UNION ALL SELECT 'c3', 'unknown_dimension', 0, false UNION ALL SELECT 'c4', '', (SELECT count(*) FROM bridge WHERE category_name = 'BUILDING'), true",
     "concept_tagging": "SELECT concept, count(*) AS documents FROM (SELECT unnest(list_filter([CASE WHEN regexp_matches(lower(text), 'price|euro|cost') THEN 'prices' END, CASE WHEN regexp_matches(lower(text), 'nation|region|land') THEN 'places' END, CASE WHEN regexp_matches(lower(text), 'grow|increase|trend') THEN 'growth' END, CASE WHEN regexp_matches(lower(text), '\\bend\\b') THEN 'the_end' END], lambda x: x IS NOT NULL)) AS concept FROM documents) GROUP BY 1",
-    "map_snapshot": f"WITH {SQL} SELECT geography_code, measure_code AS indicator, max(value)::DOUBLE AS value FROM fact WHERE calendar_year = 1997 GROUP BY ALL",
+    "map_snapshot": f"WITH {SQL} SELECT geography_code, calendar_year, measure_code AS indicator, max(value)::DOUBLE AS value FROM fact GROUP BY ALL",
     "source_mapping": "WITH e AS (SELECT *, CASE WHEN event_id % 9 = 0 THEN -1 ELSE round(value) END AS t FROM events) SELECT 'events:' || event_id AS lineage, ts::DATE::VARCHAR AS period_start, CASE WHEN t <> -1 THEN round(t) / 10 END AS celsius, CASE WHEN t = -1 THEN 0 ELSE round(t) / 10 END AS millimetres FROM e",
     "region_rules": """WITH v AS (SELECT n_nationkey AS nation, CASE n_nationkey % 6 WHEN 0 THEN 'NL01' WHEN 1 THEN 'PV' || n_nationkey WHEN 2 THEN printf('GM%04d', n_nationkey) WHEN 3 THEN printf('BU%04d0001', n_nationkey) WHEN 4 THEN 'x' END AS value_key,
  CASE n_nationkey % 12 WHEN 0 THEN 'country' WHEN 6 THEN 'country' WHEN 5 THEN 'country' WHEN 1 THEN 'province' WHEN 7 THEN 'province' WHEN 4 THEN 'province' WHEN 2 THEN 'municipality' WHEN 8 THEN 'municipality' WHEN 3 THEN 'neighborhood' WHEN 9 THEN 'neighborhood' END AS dimension_level FROM nation)
@@ -365,8 +360,10 @@ ORACLES = {
     "spatial_labels": f"WITH {_DS} SELECT CASE WHEN list_has_all(levels, ['country', 'municipality', 'neighborhood']) THEN 'Netherlands — all municipalities, wijken and buurten' WHEN list_has_all(levels, ['country', 'province', 'municipality']) THEN 'Netherlands — country, provinces and municipalities' WHEN list_contains(levels, 'province') THEN 'Netherlands — provinces' WHEN list_contains(levels, 'municipality') THEN 'Netherlands — municipalities' WHEN list_contains(levels, 'country') THEN 'Netherlands — country' WHEN list_contains(levels, 'neighborhood') THEN 'Netherlands — wijken and buurten' END AS coverage, count(*) AS datasets FROM d GROUP BY 1",
     "text_rules": """WITH y AS (SELECT c_custkey, 1960 + c_custkey % 60 AS a, 1990 + c_custkey % 50 AS b FROM customer), l AS (SELECT *, list_filter([a, b], lambda x: x BETWEEN 1970 AND 2026) AS years FROM y)
  SELECT c_custkey, array_to_string(years, ',') AS years, CASE WHEN len(years) < 2 THEN len(years) ELSE abs(years[1] - years[2]) + 1 END AS year_count, (1000 + c_custkey % 1000) + (c_custkey % 10) / 10.0::DOUBLE AS number, CASE WHEN c_custkey % 3 = 0 THEN '2001-02-0' || (c_custkey % 9 + 1) END AS iso_date, 'arzte cafe no ' || c_custkey AS folded, 'el_' || c_custkey AS slug, 1998 >= a AND 1998 < b AS in_bucket, round(c_custkey / 700.0::DOUBLE * 10000) / 100 AS share, c_custkey % 2 = 0 AS is_geography FROM l""",
-    "schema_hashes": "SELECT p_brand, count(*) AS properties, sha256('[' || string_agg('{\"key\":' || p_partkey || ',\"size\":' || p_size || '}', ',' ORDER BY p_partkey) || ']') AS schema_hash FROM part WHERE p_size <= 10 GROUP BY 1",
+    "schema_hashes": "SELECT p_brand, count(*) AS properties, sha256('[' || string_agg('{\"key\":' || p_partkey || ',\"size\":' || p_size || '}', ',' ORDER BY p_partkey) || ']') AS schema_hash FROM part GROUP BY 1",
     "top_chart": "SELECT n_name AS name, count(*) AS orders, round(count(*) FILTER (o_totalprice > 200000) / count(*)::DOUBLE * 10000) / 100 AS share_percent FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY share_percent DESC, name LIMIT 6",
-    "hash_vectors": "SELECT n_nationkey, 64::BIGINT AS slots, 1.0::DOUBLE AS norm, true AS any FROM nation",
+    "hash_vectors": r"""WITH t AS (SELECT p_partkey, sha256(unnest(regexp_extract_all(lower('the part ' || p_name || ' ' || p_type), '[\p{L}\p{N}]+'))) AS h FROM part),
+        b AS (SELECT p_partkey, h, unnest(range(0, 8)) AS k FROM t), s AS (SELECT p_partkey, ('0x' || substr(h, (2 * k + 1)::INT, 2))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(h, (2 * k + 17)::INT, 2))::BIGINT >= 128 THEN -1 ELSE 1 END) AS v FROM b GROUP BY 1, 2),
+        n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY p_partkey)::DOUBLE) AS n FROM s) SELECT p_partkey, slot, round(round(v::DOUBLE / n, 6), 4) AS value FROM n WHERE v <> 0""",
 }
 QUERIES = {n: globals()[n] for n in ORACLES}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaystat.functions import rules
+from quaystat.operators.hierarchy import ancestors
 from quaystat.sources.mart import read
 
 #: Properties of the raw order rows: which are dimensions, which measures.
@@ -60,11 +61,13 @@ def silver_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units of a list of texts, with scale, aggregation and value type."""
+    """Units of all parts, whose unit texts are of many kinds, with scale, aggregation and value type."""
     texts = ["%", "procentpunt", "1 000 euro", "mln euro", "x 1 000", "aantal personen", "2021=100", "m²", "1 000 m3", "uren", "", "euro", "huishoudens", "kg"]
-    df = spark.createDataFrame([(t, "Gemiddeld inkomen" if k % 5 == 4 else "Waarde") for k, t in enumerate(texts)], "unit string, measure string").repartition(1)
+    text = F.element_at(F.array(*(F.lit(t) for t in texts)), (F.col("p_partkey") % len(texts) + 1).cast("int"))
+    name = F.when(F.col("p_partkey") % len(texts) % 5 == 4, "Gemiddeld inkomen").otherwise("Waarde")
+    df = read(spark, sf_dir, "part").groupBy(text.alias("unit"), name.alias("measure")).agg(F.count("*").alias("parts"))
     code = rules.unit_code(F.col("unit"), F.col("measure"))
-    return df.select("unit", "measure", code.alias("unit_code")).select("*", rules.scale_factor(F.col("unit_code")).cast("long").alias("scale_factor"), rules.default_aggregation(F.col("unit_code"), F.col("measure")).alias("aggregation"), rules.value_type(F.col("unit_code")).alias("value_type"))
+    return df.select("unit", "measure", "parts", code.alias("unit_code")).select("*", rules.scale_factor(F.col("unit_code")).cast("long").alias("scale_factor"), rules.default_aggregation(F.col("unit_code"), F.col("measure")).alias("aggregation"), rules.value_type(F.col("unit_code")).alias("value_type"))
 
 
 def missing_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,16 +177,12 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def theme_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions over nations as a tree: (id, level, path). Level by level, until no child is left; orphans are roots."""
+    """Regions over nations as a tree: (id, level, path), of any depth; orphans are roots."""
     r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
     nodes = r.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("title"))
     nodes = nodes.unionByName(n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("id"), F.when(F.col("n_nationkey") != 3, F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))).otherwise("R99").alias("parent"), F.col("n_name").alias("title")))
-    nodes.createOrReplaceTempView("quaystat_tree")
-    return spark.sql("""
-        WITH RECURSIVE t(id, level, path) AS (
-          SELECT id, 0, title FROM quaystat_tree c WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM quaystat_tree p WHERE p.id = c.parent)
-          UNION ALL SELECT c.id, t.level + 1, concat(t.path, ' > ', c.title) FROM quaystat_tree c JOIN t ON c.parent = t.id)
-        SELECT id, CAST(level AS BIGINT) AS level, path FROM t""")
+    t = ancestors(nodes)
+    return t.select("id", (F.col("depth") - 1).cast("long").alias("level"), F.array_join("titles", " > ").alias("path"))
 
 
 QUERIES = {
@@ -205,8 +204,8 @@ ORACLES = {
         SELECT period_code, CASE k WHEN 'JJ' THEN 'year' WHEN 'KW' THEN 'quarter' WHEN 'MM' THEN 'month' ELSE 'half_year' END AS period_type, s::VARCHAR AS period_start,
                (CASE k WHEN 'JJ' THEN s + INTERVAL 12 MONTH WHEN 'KW' THEN s + INTERVAL 3 MONTH WHEN 'MM' THEN s + INTERVAL 1 MONTH ELSE s + INTERVAL 6 MONTH END - INTERVAL 1 DAY)::DATE::VARCHAR AS period_end, observations FROM b""",
     "unit_normalisation": """WITH u AS (SELECT unnest(['%', 'procentpunt', '1 000 euro', 'mln euro', 'x 1 000', 'aantal personen', '2021=100', 'm²', '1 000 m3', 'uren', '', 'euro', 'huishoudens', 'kg']) AS unit, generate_subscripts(['%', 'procentpunt', '1 000 euro', 'mln euro', 'x 1 000', 'aantal personen', '2021=100', 'm²', '1 000 m3', 'uren', '', 'euro', 'huishoudens', 'kg'], 1) AS k),
-        t AS (SELECT unit, CASE WHEN k % 5 = 0 THEN 'Gemiddeld inkomen' ELSE 'Waarde' END AS measure, lower(unit || ' ' || CASE WHEN k % 5 = 0 THEN 'Gemiddeld inkomen' ELSE 'Waarde' END) AS x FROM u),
-        c AS (SELECT unit, measure, CASE WHEN trim(unit) = '' THEN 'UNKNOWN' WHEN regexp_matches(x, 'procentpunt|percentage point') THEN 'PERCENTAGE_POINTS' WHEN regexp_matches(x, '%|percentage|procent') THEN 'PERCENT' WHEN regexp_matches(x, 'mln euro|million euro') THEN 'EUR_MILLIONS' WHEN regexp_matches(x, '1 000 euro|1000 euro|eur1000') THEN 'EUR_THOUSANDS' WHEN contains(x, 'eur') THEN 'EUR'
+        t AS (SELECT unit, (SELECT count(*) FROM part WHERE p_partkey % 14 = k - 1) AS parts, CASE WHEN k % 5 = 0 THEN 'Gemiddeld inkomen' ELSE 'Waarde' END AS measure, lower(unit || ' ' || CASE WHEN k % 5 = 0 THEN 'Gemiddeld inkomen' ELSE 'Waarde' END) AS x FROM u),
+        c AS (SELECT unit, measure, parts, CASE WHEN trim(unit) = '' THEN 'UNKNOWN' WHEN regexp_matches(x, 'procentpunt|percentage point') THEN 'PERCENTAGE_POINTS' WHEN regexp_matches(x, '%|percentage|procent') THEN 'PERCENT' WHEN regexp_matches(x, 'mln euro|million euro') THEN 'EUR_MILLIONS' WHEN regexp_matches(x, '1 000 euro|1000 euro|eur1000') THEN 'EUR_THOUSANDS' WHEN contains(x, 'eur') THEN 'EUR'
           WHEN regexp_matches(x, 'index|\\b\\d{4}\\s*=\\s*100\\b') THEN 'INDEX' WHEN regexp_matches(x, 'm²|m2') THEN 'SQUARE_METERS' WHEN regexp_matches(x, 'm³|m3') THEN 'CUBIC_METERS' WHEN regexp_matches(x, 'uren|hours') THEN 'HOURS' WHEN contains(x, '1 000') THEN 'THOUSANDS' WHEN regexp_matches(x, 'personen|people|inwoners') THEN 'PERSONS' WHEN contains(x, 'huishoudens') THEN 'HOUSEHOLDS' WHEN regexp_matches(x, 'aantal|count|number|woningen|bedrijven|objecten') THEN 'COUNT' ELSE 'UNKNOWN' END AS unit_code FROM t)
         SELECT *, CASE WHEN unit_code IN ('EUR_THOUSANDS', 'THOUSANDS') THEN 1000 WHEN unit_code = 'EUR_MILLIONS' THEN 1000000 ELSE 1 END::BIGINT AS scale_factor, CASE WHEN unit_code IN ('PERCENT', 'PERCENTAGE_POINTS', 'INDEX') OR regexp_matches(lower(measure), 'gemiddeld|average|mediaan|index') THEN 'average' WHEN unit_code IN ('COUNT', 'PERSONS', 'HOUSEHOLDS', 'THOUSANDS') OR contains(unit_code, 'EUR') THEN 'sum' ELSE 'none' END AS aggregation,
           CASE WHEN unit_code = 'PERCENT' THEN 'percentage' WHEN contains(unit_code, 'EUR') THEN 'currency' WHEN unit_code = 'INDEX' THEN 'index' WHEN unit_code IN ('COUNT', 'PERSONS', 'HOUSEHOLDS') THEN 'count' ELSE 'decimal' END AS value_type FROM c""",

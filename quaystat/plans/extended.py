@@ -34,8 +34,10 @@ def measure_dimension(spark: SparkSession) -> DataFrame:
 
 
 def lookup_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is known of the enabled measures of a dataset, keys as text."""
+    """What is known of the enabled measures of a dataset that has facts of them, keys as text."""
     m = measure_dimension(spark).filter("is_enabled and dataset_code = 'LINEITEM'")
+    have = mart.populated(mart.observations(spark, sf_dir, ("QUANTITY", "EXTENDED_PRICE"))).select("dataset_code", "measure_code").distinct()
+    m = m.join(have, ["dataset_code", "measure_code"], "left_semi")
     return m.select(F.col("measure_key").cast("string").alias("measure_key"), "measure_code", "measure_name", "unit_code", "unit_name", "scale_factor", "default_aggregation", "value_type", "dataset_code")
 
 
@@ -192,7 +194,7 @@ _SCELL = "SELECT geography_code, geography_name, geography_type, calendar_year,
 _BOTH = """, one AS (SELECT geography_name, geography_code, geography_type, calendar_year, measure_code, max(value * scale_factor)::DECIMAL(24,2) AS value FROM fact WHERE measure_code IN ('TOTAL_PRICE', 'EXTENDED_PRICE') GROUP BY ALL),
 two AS (SELECT geography_name, geography_code, geography_type, calendar_year, max(value) FILTER (measure_code = 'EXTENDED_PRICE') AS y, max(value) FILTER (measure_code = 'TOTAL_PRICE') AS x FROM one GROUP BY ALL HAVING count(*) = 2) """
 SQL = {
-    "lookup_measure": "SELECT " + _KEY.format("'measure|LINEITEM|' || c") + "::VARCHAR AS measure_key, c AS measure_code, n AS measure_name, CASE WHEN u = 'aantal' THEN 'COUNT' ELSE 'EUR_THOUSANDS' END AS unit_code, CASE WHEN u = 'aantal' THEN 'Number' ELSE 'Thousand euro' END AS unit_name, CASE WHEN u = 'aantal' THEN 1 ELSE 1000 END::BIGINT AS scale_factor, 'sum' AS default_aggregation, CASE WHEN u = 'aantal' THEN 'count' ELSE 'currency' END AS value_type, 'LINEITEM' AS dataset_code FROM (VALUES ('QUANTITY', 'Aantal stuks', 'aantal'), ('EXTENDED_PRICE', 'Extended price', '1 000 euro')) t(c, n, u)",
+    "lookup_measure": "SELECT " + _KEY.format("'measure|LINEITEM|' || c") + "::VARCHAR AS measure_key, c AS measure_code, n AS measure_name, CASE WHEN u = 'aantal' THEN 'COUNT' ELSE 'EUR_THOUSANDS' END AS unit_code, CASE WHEN u = 'aantal' THEN 'Number' ELSE 'Thousand euro' END AS unit_name, CASE WHEN u = 'aantal' THEN 1 ELSE 1000 END::BIGINT AS scale_factor, 'sum' AS default_aggregation, CASE WHEN u = 'aantal' THEN 'count' ELSE 'currency' END AS value_type, 'LINEITEM' AS dataset_code FROM (VALUES ('QUANTITY', 'Aantal stuks', 'aantal'), ('EXTENDED_PRICE', 'Extended price', '1 000 euro')) t(c, n, u) WHERE CASE c WHEN 'QUANTITY' THEN EXISTS (SELECT 1 FROM lineitem WHERE l_quantity IS NOT NULL) ELSE EXISTS (SELECT 1 FROM lineitem WHERE l_extendedprice IS NOT NULL) END",
     "category_breakdown_qualified": _plan("SELECT geography_name, calendar_year, dimension_code, category_name, max(value * scale_factor)::DOUBLE AS value, max(value)::DOUBLE AS raw_value, max(unit_code) AS unit_code FROM fact JOIN bridge b USING (observation_key) JOIN orders ON o_orderkey = observation_key WHERE measure_code = 'TOTAL_PRICE' AND calendar_year = 1998 AND dimension_code = 'Priority' AND o_orderstatus = 'O' GROUP BY ALL ORDER BY geography_name, calendar_year, category_name LIMIT 50"),
     "sandbox_annual_total": _with(_CUBE + "SELECT calendar_year, geography_type, geography_code, geography_name, NULL::VARCHAR AS group_value, count(*) AS row_count, round(avg(value)::DOUBLE, 2) AS aggregate_value FROM cube WHERE calendar_year = 1997 AND period_type = 'year' AND category_name = 'Totaal' GROUP BY ALL ORDER BY aggregate_value DESC NULLS LAST, geography_code LIMIT 100"),
     "sandbox_grouped": _with(_CUBE + "SELECT calendar_year, geography_type, geography_code, geography_name, category_name AS group_value, count(*) AS row_count, round(sum(value)::DOUBLE, 2) AS aggregate_value FROM cube WHERE calendar_year = 2000 AND category_name IN ('1-URGENT', '5-LOW') GROUP BY ALL ORDER BY aggregate_value DESC NULLS LAST, geography_code, group_value LIMIT 100"),

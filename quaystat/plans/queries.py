@@ -114,13 +114,18 @@ def relationship_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("*", direction.alias("direction"), strength.alias("strength"))
 
 
-def relationship_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored profiles: years with enough pairs and a coefficient that is not too small, with bands and quality."""
-    out = _pearson(measure_pairs(spark, sf_dir), "measure_code", "other_measure", "calendar_year").filter((F.col("pairs") >= 20) & (F.abs(F.coalesce("pearson", F.lit(0.0))) >= 0.1))
+def stored_profiles(pairs: DataFrame, min_pairs: int = 20, least: float = 0.0) -> DataFrame:
+    """Relationships of each two measures and year that are kept: enough pairs, a coefficient of some size, with bands and quality."""
+    out = _pearson(pairs, "measure_code", "other_measure", "calendar_year")
+    out = out.filter((F.col("pairs") >= min_pairs) & (F.abs(F.coalesce("pearson", F.lit(0.0))) >= least))
     direction, strength, quality = relationship_profile(F.col("pearson"), F.col("pairs"))
     return out.select("*", direction.alias("direction"), strength.alias("strength"), quality.alias("quality_status"))
 
 
+def relationship_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_profiles(measure_pairs(spark, sf_dir), least=0.1)
+
+
 def availability_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = mart.observations(spark, sf_dir)
     full = F.col("value").isNotNull()

@@ -1,10 +1,10 @@
 """All queries of the library by name, with their oracles."""
 
-from quaystat.operators import catalogue, gold, governance, indexed, pipeline, search, semantic
+from quaystat.operators import catalogue, gold, governance, indexed, pipeline, search, semantic, warehouse
 from quaystat.plans import crossed, extended
 from quaystat.plans import queries as plans
 
-_PARTS = (plans, extended, crossed, pipeline, semantic, governance, gold, catalogue, search, indexed)
+_PARTS = (plans, extended, crossed, pipeline, semantic, governance, gold, catalogue, search, indexed, warehouse)
 
 
 def _merged(parts: list[dict]) -> dict:
