@@ -151,7 +151,8 @@ c2 AS (SELECT *, list_reduce(list_prepend(5381::BIGINT, list_transform(string_sp
 con AS (SELECT *, concat_ws('_', 'gen', coalesce(lower(dataset_code), 'dataset'), substr(regexp_replace(regexp_replace(lower(measure_code), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48), substr(ltrim({' || '.join(_DIGIT.format(36**p) for p in range(6, -1, -1))}, '0'), 1, 6)) AS metric_code,
     CASE WHEN da = 'sum' THEN 'sum' WHEN contains(lower(label), 'mediaan') THEN 'median' WHEN contains(lower(label), 'gemiddeld') OR unit_code = 'PERCENT' THEN 'average' WHEN is_additive OR unit_code = 'COUNT' THEN 'sum' ELSE 'none' END AS aggregation,
     CASE WHEN list_contains(g, 'municipality_year') THEN 'municipality_year' WHEN list_contains(g, 'province_year') THEN 'province_year' WHEN list_contains(g, 'region_year') THEN 'region_year' WHEN list_contains(g, 'national_year') THEN 'national_year' ELSE g[1] END AS default_grain,
-    len(list_distinct([label, measure_code, regexp_replace(label, '\\s+', ' ', 'g'), replace(label, '-', ' ')])) AS n_synonyms FROM c2),
+    len(list_distinct([label, measure_code, regexp_replace(label, '\\s+', ' ', 'g'), replace(label, '-', ' ')])) AS n_synonyms FROM c2
+    QUALIFY row_number() OVER (PARTITION BY metric_code ORDER BY measure_key NULLS LAST, label NULLS LAST, unit_code NULLS LAST, da NULLS LAST, is_additive, n, min_year NULLS LAST, max_year NULLS LAST, cand) = 1),
 """
 _DIA = """cu AS (SELECT * REPLACE (CASE WHEN cur THEN 'Curated ' || label ELSE label END AS label, CASE WHEN cur THEN 'COUNT' ELSE unit_code END AS unit_code, CASE WHEN cur AND measure_key % 4 = 0 THEN 'national_year' ELSE default_grain END AS default_grain) FROM (SELECT *, {cur} AS cur FROM con)),
 du AS (SELECT *, count(*) OVER (PARTITION BY lower(label)) AS same FROM cu),
