@@ -302,8 +302,11 @@ def test_oracles_on_small_tables(spark, docs, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    odd = spark.createDataFrame([(9001, None, 1), (9002, [], 1), (9003, [float("nan")] * 64, 1), (9050, [None] * 64, 1), (9100, [0.5] * 64, None), (None, [0.5] * 64, 1), (9150, [0.5] * 64, 3)], "vec_id long, embedding array<float>, label int")
+    vectors.orderBy("vec_id").limit(200).unionByName(odd).write.parquet(str(tmp_path / "embeddings.parquet"))
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     for name in ORACLES:
         got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(ORACLES[name]).df()
