@@ -101,13 +101,14 @@ def category_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], curated: str | None = None) -> DataFrame:
-    """Rows of both by key: new ones win, but for keys whose old `curated` column is true."""
+    """Rows of both by key: new ones win. With a `curated` column, keys whose old one is true stay as they are, and a null new value leaves the old one."""
     cols = old.columns
     o, n = old.alias("o"), new.alias("n")
     on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
     both = o.withColumn("__o", F.lit(True)).alias("o").join(n.withColumn("__n", F.lit(True)).alias("n"), on, "full")
     stay = F.col("n.__n").isNull() | (F.coalesce(F.col(f"o.{curated}"), F.lit(False)) if curated else F.lit(False))
-    return both.select(*(F.when(stay, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in cols))
+    new = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if curated else F.col(f"n.{c}")
+    return both.select(*(F.when(stay, F.col(f"o.{c}")).otherwise(new(c)).alias(c) for c in cols))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -121,8 +122,10 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curated_precedence_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curated customers stay, others take the new balance, every eleventh of which is null and leaves the old one."""
     old, new = _versions(spark, sf_dir)
-    return upsert(old, new, ["c_custkey"], "curated")
+    new = new.withColumn("c_acctbal", F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal")))
+    return upsert(old, new, ["c_custkey"], "curated").withColumn("c_acctbal", F.coalesce("c_acctbal", F.lit(-1e9)))
 
 
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +217,7 @@ ORACLES = {
     "stable_keys": "SELECT o_orderkey, sha256(t) AS record_hash, ('0x' || substr(sha256(t), 1, 15))::BIGINT AS record_key FROM (SELECT o_orderkey, 'ORDERS|' || o_orderkey || '|' || CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE '' END AS t FROM orders)",
     "category_hash": "SELECT sha256(CASE WHEN o_orderkey % 13 = 0 THEN 'NO_CATEGORIES' ELSE 'Priority=' || o_orderpriority || '|Status=' || o_orderstatus END) AS combination_hash, count(*) AS observations FROM orders GROUP BY ALL",
     "upsert_latest": f"WITH {_OLD} SELECT * FROM new UNION ALL SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new)",
-    "curated_precedence_upsert": f"WITH {_OLD} SELECT * FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM old WHERE curated) UNION ALL SELECT * FROM old WHERE curated OR c_custkey NOT IN (SELECT c_custkey FROM new)",
+    "curated_precedence_upsert": f"WITH {_OLD} SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(CASE WHEN o.curated OR n.c_custkey IS NULL OR n.c_custkey % 11 = 0 THEN o.c_acctbal ELSE n.c_acctbal END, -1e9::DOUBLE) AS c_acctbal, coalesce(o.curated, n.curated) AS curated FROM old o FULL JOIN new n ON o.c_custkey = n.c_custkey",
     "insert_if_absent": f"WITH {_OLD} SELECT * FROM old UNION ALL SELECT * FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM old)",
     "latest_version_dedup": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "incremental_skip": "SELECT c_custkey, c_custkey % 4 AS version FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 2 <> 0",
