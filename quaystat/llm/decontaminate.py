@@ -4,6 +4,9 @@ Of every SPAN - K + 1 consecutive hashes of K words the smallest is kept (all, i
 once), so that two texts with SPAN equal words in a row keep an equal fingerprint inside them. Fingerprints
 of documents and benchmark are joined and each hit is extended word by word. An item of fewer than SPAN words
 is looked up whole, by the hashes of all runs of its length.
+
+Items whose words round a fingerprint are equal meet documents as one row. A fingerprint with more than its share of all
+hits is split: its hits are dealt to several keys, each of which gets the benchmark's rows of that fingerprint.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ SPAN, K = 13, 8
 #: Bits of the filter that the executors get: a fixed 16 MB whatever the size of the benchmark. It only
 #: spares shuffles; what it lets through is joined on the fingerprint itself.
 FILTER_BITS = 1 << 27
+#: A fingerprint with over 1/SHARES of all hits is split into parts of about that size; fewer than SHARES fingerprints can be.
+SHARES = 4096
+#: Hits of a part at least; fewer don't make a task long.
+PART_HITS = 1024
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -139,31 +146,55 @@ def contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def _bench_prints(bench: DataFrame, item_col: str, item_text_col: str, span: int, k: int) -> DataFrame:
+    """(fp, n, whole, ioff, ictx, items): each fingerprint of the benchmark with the words round it, once for all items that have both."""
+    prints = fingerprints(bench.filter(bench[item_col].isNotNull()), item_col, item_text_col, span, k)
+    prints = prints.select(F.col("id").cast("string").alias("item"), F.explode("hits").alias("h"))
+    prints = prints.select("item", "h.fp", "h.n", "h.whole", F.col("h.off").alias("ioff"), F.col("h.ctx").alias("ictx"))
+    return written(prints.groupBy("fp", "n", "whole", "ioff", "ictx").agg(F.sort_array(F.collect_set("item")).alias("items")), "bench-prints")
+
+
+def _meet(hits: DataFrame, prints: DataFrame, shares: int = SHARES, least: int = PART_HITS) -> DataFrame:
+    """Hits of documents beside the benchmark's rows of the same fingerprint; a fingerprint with over 1/shares of all hits is split."""
+    key = ["fp", "n", "whole"]
+    total = hits.count()
+    size = max(least, -(-total // shares))
+    parts = hits.groupBy(*key).count().filter(F.col("count") > size).select(*key, F.ceil(F.col("count") / size).cast("int").alias("parts"))
+    parts = F.broadcast(written(parts, "common-prints"))  # fewer than shares rows
+    one = F.coalesce("parts", F.lit(1))
+    left = hits.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64("rid", "pos"), one).cast("int")).drop("parts")
+    right = prints.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    return left.join(right, [*key, "part"])
+
+
 def _contamination(df: DataFrame, bench: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, span: int, k: int, percent: int) -> DataFrame:
     """The rows of contamination(), with the text key; the id is called id."""
     spark = df.sparkSession
-    prints = fingerprints(bench.filter(bench[item_col].isNotNull()), item_col, item_text_col, span, k)
-    prints = written(prints.select(F.col("id").cast("string").alias("item"), F.explode("hits").alias("h")).select("item", "h.fp", "h.n", "h.whole", F.col("h.off").alias("ioff"), F.col("h.ctx").alias("ictx")).distinct(), "bench-prints")
+    prints = _bench_prints(bench, item_col, item_text_col, span, k)
     short = tuple(sorted(r[0] for r in prints.filter("whole").select("n").distinct().collect()))  # under span lengths
     bits = spark.sparkContext.broadcast(filter_bits(prints))
     docs = fingerprints(df, id_col, text_col, span, k, short, bits)
     docs = written(docs.select(F.monotonically_increasing_id().alias("rid"), "*"), "document-prints")
-    hit = docs.select("rid", F.explode("hits").alias("h")).select("rid", "h.*").join(prints, ["fp", "n", "whole"]).select("rid", "item", "n", "whole", "pos", "off", "ctx", "ioff", "ictx")
+    hit = _meet(docs.select("rid", F.explode("hits").alias("h")).select("rid", "h.*"), prints)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for rid, item, n, whole, pos, off, ctx, ioff, ictx in zip(*(c.to_pylist() for c in b.columns)):
-                if whole:
-                    if ctx == ictx:
-                        out.append((rid, item, pos, pos + n))
-                elif got := extend(ctx.split(), off, ictx.split(), ioff, n, span):
-                    out.append((rid, item, pos - got[0], pos + n + got[1]))
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32()))], ["rid", "item", "lo", "hi"])
-
-    spans = hit.mapInArrow(check, "rid long, item string, lo int, hi int")
-    spans = spans.groupBy("rid", "lo", "hi").agg(F.collect_set("item").alias("items"))
+            known: dict[tuple, tuple[int, int] | None] = {}
+            rows, los, his = [], [], []
+            for i, (n, whole, pos, *pair) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "whole", "pos", "off", "ctx", "ioff", "ictx")))):
+                key = (n, whole, *pair)
+                if key not in known:
+                    off, ctx, ioff, ictx = pair
+                    known[key] = ((0, 0) if ctx == ictx else None) if whole else extend(ctx.split(), off, ictx.split(), ioff, n, span)
+                if got := known[key]:
+                    rows.append(i)
+                    los.append(pos - got[0])
+                    his.append(pos + n + got[1])
+            took = b.select(["rid", "items"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(los, pa.int32()), pa.array(his, pa.int32())], ["rid", "items", "lo", "hi"])
+
+    spans = hit.mapInArrow(check, "rid long, items array<string>, lo int, hi int")
+    spans = spans.groupBy("rid", "lo", "hi").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     per = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("s"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = F.aggregate(
         "s",

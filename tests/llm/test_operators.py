@@ -66,6 +66,29 @@ def test_substring_dedup_small_buckets(frame, docs):
     assert sorted(gone.values()) == sorted(n for n in {(i, t): n for (i, t), (_, _, n, _) in zip(docs, brute.substring_dedup(docs))}.values() if n)
 
 
+def test_decontaminate_splits_common_fingerprints(spark, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(40))
+    docs = [(d, f"d{d} a{d} {passage} z{d}" if d % 3 else f"only{d} words " * 9) for d in range(300)]
+    items = [(f"i{k}", f"x{k} {passage}" if k % 2 else " ".join(passage.split()[k : k + 14])) for k in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = by_text(brute.contamination(docs, items))
+    prints = decontaminate._bench_prints(bench, "item_id", "text", decontaminate.SPAN, decontaminate.K)
+    assert prints.agg(F.max(F.size("items"))).first()[0] > 8  # items that share words meet as one row
+    meet = decontaminate._meet
+    dealt = []
+
+    def small(hits, prints):
+        out = meet(hits, prints, shares=64, least=4)
+        dealt.append((out.select("fp", "part").distinct().groupBy("fp").count().agg(F.max("count")).first()[0], out.count(), meet(hits, prints).count()))
+        return out
+
+    monkeypatch.setattr(decontaminate, "_meet", small)
+    assert rows(decontaminate.contamination(frame, bench)) == want
+    parts, split, whole = dealt[0]
+    assert parts > 1 and split == whole
+
+
 def test_decontaminate(spark, frame, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     items += [(900, "one two"), (901, "Q"), (902, "x y z x"), (None, "a b"), (903, None), (904, ""), (905, "q " * 20), (900, "日本語" * 40), (906, docs[11][1])]
