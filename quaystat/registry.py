@@ -1,10 +1,10 @@
 """All queries of the library by name, with their oracles."""
 
-from quaystat.operators import catalogue, contracted, gold, governance, indexed, pipeline, published, search, semantic, warehouse
+from quaystat.operators import catalogue, contracted, described, gold, governance, indexed, pipeline, published, search, semantic, warehouse
 from quaystat.plans import crossed, extended
 from quaystat.plans import queries as plans
 
-_PARTS = (plans, extended, crossed, pipeline, semantic, governance, gold, catalogue, search, indexed, warehouse, contracted, published)
+_PARTS = (plans, extended, crossed, pipeline, semantic, governance, gold, catalogue, search, indexed, warehouse, contracted, published, described)
 
 
 def _merged(parts: list[dict]) -> dict:
