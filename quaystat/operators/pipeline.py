@@ -153,11 +153,22 @@ def key_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(remap, "c_custkey", "left").select(F.coalesce("new_key", "c_custkey").alias("customer_key")).groupBy("customer_key").agg(F.count("*").alias("orders"))
 
 
+def near_keys(rows: DataFrame, key: str, label: str, width: int) -> DataFrame:
+    """(key, other_key) of the rows of one label whose keys are not equal and at most `width` apart.
+
+    Keys lie in blocks of that width, and a row meets the rows of its label in its own block and the two beside it: the work follows the number of rows
+    and not the square of a label's.
+    """
+    block = F.floor(F.col(key) / F.lit(width)).cast("long")
+    p = rows.select(key, label, block.alias("block"))
+    q = rows.select(F.col(key).alias("other_key"), label, F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    return p.join(q, [label, "block"]).filter((F.col("other_key") != F.col(key)) & (F.abs(F.col("other_key") - F.col(key)) <= width)).select(key, "other_key")
+
+
 def band_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near keys under an equal label: equi-join on the label, the band as a residual, only unambiguous matches."""
-    p = read(spark, sf_dir, "part").select("p_partkey", F.lower(F.concat_ws("/", "p_brand", "p_type")).alias("label"))
-    q = p.select(F.col("p_partkey").alias("other_key"), "label")
-    got = p.join(q, "label").filter((F.col("other_key") != F.col("p_partkey")) & F.col("other_key").between(F.col("p_partkey") - 64, F.col("p_partkey") + 64))
+    """Near keys under an equal label, only unambiguous matches; a part without a brand or type has no label."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.lower(F.concat("p_brand", F.lit("/"), "p_type")).alias("label"))
+    got = near_keys(p, "p_partkey", "label", 64)
     return got.withColumn("n", F.count("*").over(Window.partitionBy("p_partkey"))).filter("n = 1").select("p_partkey", "other_key")
 
 
