@@ -128,8 +128,8 @@ def region_code_parts(key: Column, level: Column) -> tuple[Column, Column]:
 
 
 def years_in_text(text: Column) -> Column:
-    """Years that the text names, in its order."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"((?:19|20)\d{2})"), F.lit(1)), lambda y: y.cast("int"))
+    """Years that the text names, in its order; four digits of a longer number are no year."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), F.lit(1)), lambda y: y.cast("int"))
     return F.filter(found, lambda y: y.between(FIRST_YEAR, LAST_YEAR))
 
 

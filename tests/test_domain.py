@@ -65,3 +65,8 @@ def test_scoped_overwrite(spark, tmp_path):
 def test_upsert_of_nothing(spark):
     a = spark.createDataFrame([(1, 2)], "k int, v int")
     assert gold.upsert(gold.without_stale(a, a.limit(0), ["k"]), a, ["k"]).collect() == a.collect()
+
+
+def test_digits_of_longer_numbers_are_no_years(spark):
+    r = one(spark, a=domain.years_in_text(F.lit("Supplier#000001990 kort")), b=domain.years_in_text(F.lit("19951 1995JJ00, 1992-1998 x2001")))
+    assert (list(r.a), list(r.b)) == ([], [1995, 1992, 1998, 2001])
