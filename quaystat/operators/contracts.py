@@ -44,7 +44,8 @@ def suffix(text: Column) -> Column:
 def generated(capabilities: DataFrame) -> DataFrame:
     """The contract that a capability suggests: code, label, aggregation, grains, synonyms, and which plans it supports.
 
-    Codes end in a short hash, so that two measures of one name can share a code: the one of smallest key stays.
+    Codes end in a short hash, so that two measures of one name can share a code: the one of smallest key stays. Without keys all other columns decide, so
+    that the rows' order never does.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     code = F.concat_ws(
@@ -56,7 +57,7 @@ def generated(capabilities: DataFrame) -> DataFrame:
     default = F.coalesce(*(F.when(F.array_contains("valid_grains", g), F.lit(g)) for g in GRAINS), F.get("valid_grains", F.lit(0)))
     names = F.array("label", "measure_code", F.regexp_replace("label", r"\s+", " "), F.regexp_replace("label", "-", " "))
     synonyms = F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != ""))
-    first = [F.asc_nulls_last(c) for c in ("measure_key", "measure_name", "unit_code", "default_aggregation", "is_additive", "populated_fact_rows", "min_year", "max_year", "executable_candidate")]
+    first = [F.asc_nulls_last(c) for c in ("measure_key", "measure_name", "unit_code", "default_aggregation", "is_additive", "populated_fact_rows", "min_year", "max_year", "executable_candidate", "measure_code", "grains", "domain_id", "dataset_code")]
     one = capabilities.withColumn("metric_code", code).withColumn("n__", F.row_number().over(Window.partitionBy("metric_code").orderBy(*first))).filter("n__ = 1").drop("n__")
     out = one.withColumns({ "label": F.coalesce("measure_name", "measure_code"), "aggregation": how, "valid_grains": grains})
     out = out.withColumns({"default_grain": default, "synonyms": synonyms})

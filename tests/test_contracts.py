@@ -70,3 +70,9 @@ def test_availability_counts_a_data_set_once(spark):
     f = spark.createDataFrame([(1, "A", None, "", 2000, "g", 1.0, False), (1, "A", None, "year", 2000, "g", 3.0, False), (1, "B", "x", "year", None, "g", 1.0, False), (1, "A", "x", "year", 2000, "g", None, False), (1, "A", "x", "year", 2000, "g", 1.0, True)], "measure_key long, dataset_code string, geography_type string, period_type string, calendar_year long, geography_code string, value double, is_missing boolean")
     got = sorted((r.metric_code, r.dataset_code, r.geography_type, r.period_type, r.row_count, r.geography_count, r.max_value) for r in C.availability(c, f).collect())
     assert got == [("m", "A", "unknown", "year", 2, 1, 3.0), ("n", "A", "unknown", "year", 2, 1, 3.0)]
+
+
+def test_of_measures_without_key_the_order_of_rows_does_not_choose(spark):
+    rows = [("d", "D", None, "m", "Prijs", "EUR", None, False, g, 9, 1999, 2001, True) for g in (["region_quarter"], [], ["province_year"], None)]
+    got = [C.generated(spark.createDataFrame(x, CAP).coalesce(1)).select("metric_code", "valid_grains").collect() for x in (rows, rows[::-1])]
+    assert len(got[0]) == 1 and got[0] == got[1]
