@@ -139,7 +139,7 @@ def latest_version_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def incremental_skip_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose (key, version) has not been loaded."""
     c = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 4).alias("version"))
     done = c.filter("c_custkey % 5 <> 0").withColumn("version", F.when(F.col("c_custkey") % 2 == 0, F.col("version")).otherwise(F.col("version") - 1))
@@ -203,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         silver_unpivot_dimensions, silver_unpivot_measures, silver_rejected, silver_periods, unit_normalisation, missing_classification, geography_typing, stable_keys, category_hash, upsert_latest, curated_precedence_upsert,
-        insert_if_absent, latest_version_dedup, incremental_skip, key_remap, band_match, full_outer_levels, duplicate_grain_check, preview_rows, keyset_page, theme_hierarchy,
+        insert_if_absent, latest_version_dedup, incremental_skip_keys, key_remap, band_match, full_outer_levels, duplicate_grain_check, preview_rows, keyset_page, theme_hierarchy,
     )
 }
 
@@ -231,7 +231,7 @@ ORACLES = {
     "curated_precedence_upsert": f"WITH {_OLD} SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(CASE WHEN o.curated OR n.c_custkey IS NULL OR n.c_custkey % 11 = 0 THEN o.c_acctbal ELSE n.c_acctbal END, -1e9::DOUBLE) AS c_acctbal, coalesce(o.curated, n.curated) AS curated FROM old o FULL JOIN new n ON o.c_custkey = n.c_custkey",
     "insert_if_absent": f"WITH {_OLD} SELECT * FROM old UNION ALL SELECT * FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM old)",
     "latest_version_dedup": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
-    "incremental_skip": "SELECT c_custkey, c_custkey % 4 AS version FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 2 <> 0",
+    "incremental_skip_keys": "SELECT c_custkey, c_custkey % 4 AS version FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 2 <> 0",
     "key_remap": "SELECT CASE WHEN o_custkey % 9 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS customer_key, count(*) AS orders FROM orders GROUP BY ALL",
     "band_match": "WITH p AS (SELECT p_partkey, lower(p_brand || '/' || p_type) AS label FROM part), g AS (SELECT a.p_partkey, b.p_partkey AS other_key FROM p a JOIN p b ON a.label = b.label AND a.p_partkey <> b.p_partkey AND b.p_partkey BETWEEN a.p_partkey - 64 AND a.p_partkey + 64) SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY p_partkey) = 1",
     "full_outer_levels": "SELECT coalesce(a.k, b.k) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1) b ON a.k = b.k",

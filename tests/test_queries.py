@@ -33,3 +33,10 @@ def test_matches_oracle(spark, con, name):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_incremental_skip_reads_all_versions_of_the_orders(spark, con):
+    """The name stands for the job over the orders' versions; that over the customers' keys has a name of its own."""
+    got = QUERIES["incremental_skip"](spark, DATA)
+    assert sorted(got.columns) == ["o_custkey", "version"] and "FROM orders" in ORACLES["incremental_skip"]
+    assert sorted(QUERIES["incremental_skip_keys"](spark, DATA).columns) == ["c_custkey", "version"]
