@@ -192,12 +192,20 @@ def concept_tags(text: Column, rules: dict[str, str]) -> Column:
 
 
 def hash_embedding(text: Column, slots: int = 64) -> Column:
-    """A unit vector of `slots` numbers from the tokens of a text: each token's SHA-256 chooses 8 slots and signs."""
+    """A unit vector of `slots` numbers from the tokens of a text: each token's SHA-256 chooses 8 slots and signs.
+
+    A choice is the number 2 * slot, plus 1 if it adds. All choices are sorted, with one more of each number: where a number begins tells how often each
+    number before it was chosen, so that choices are not gone through one by one for each slot.
+    """
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    byte = lambda h, k: F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("int")
-    one = lambda h: F.array(*(F.struct((byte(h, k) % slots).alias("s"), F.when(byte(h, k + 8) >= 128, -1).otherwise(1).alias("v")) for k in range(8)))
-    hits = F.flatten(F.transform(tokens, lambda t: one(F.sha2(t, 256))))
-    total = F.aggregate(hits, F.array_repeat(F.lit(0), slots), lambda a, h: F.transform(a, lambda x, i: F.when(i == h["s"], x + h["v"]).otherwise(x)))
+    word = lambda h, k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long")  # noqa: E731  bytes 4k to 4k + 3 of the hash
+    byte = lambda w, k: F.shiftright(w, 24 - 8 * k).bitwiseAND(F.lit(255))
+    choices = lambda p: F.array(*((byte(p["s"], k) % slots * 2 + F.when(byte(p["v"], k) >= 128, 0).otherwise(1)).cast("int") for k in range(4)))
+    one = lambda h: F.array(*(F.struct(word(h, k).alias("s"), word(h, k + 2).alias("v")) for k in range(2)))
+    pairs = F.flatten(F.transform(tokens, lambda t: _once(F.sha2(t, 256), one)))
+    ordered = F.sort_array(F.concat(F.flatten(F.transform(pairs, choices)), F.sequence(F.lit(0), F.lit(2 * slots))))
+    begins = _once(ordered, lambda o: F.transform(F.sequence(F.lit(0), F.lit(2 * slots)), lambda n: F.array_position(o, n)))
+    total = _once(begins, lambda at: F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.get(at, 2 * i + 2) - 2 * F.get(at, 2 * i + 1) + F.get(at, 2 * i)))
     return _once(total, lambda v: _once(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(v, lambda x: F.round(x / F.when(n == 0, 1.0).otherwise(n), 6))))
 
 

@@ -309,9 +309,15 @@ def top_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token-hash vectors of all parts' names, unit length, by the slots that are not zero."""
-    p = read(spark, sf_dir, "part").select("p_partkey", domain.hash_embedding(F.concat_ws(" ", F.lit("the part"), "p_name", "p_type")).alias("v"))
-    return p.select("p_partkey", F.posexplode("v").alias("slot", "value")).filter("value <> 0").select("p_partkey", F.col("slot").cast("long").alias("slot"), F.round("value", 4).alias("value"))
+    """Token-hash vectors of all parts' names, unit length, by the slots that are not zero.
+
+    Parts are few bytes and much work: they are dealt out first, as their file alone would be read by one task or two. An inner explode would have each vector
+    computed twice, for the filter of empty arrays that Spark infers from it.
+    """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given as a number, so that they are not joined again by their few bytes
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type").repartition(tasks, "p_partkey")
+    p = p.select("p_partkey", domain.hash_embedding(F.concat_ws(" ", F.lit("the part"), "p_name", "p_type")).alias("v"))
+    return p.select("p_partkey", F.posexplode_outer("v").alias("slot", "value")).filter("value <> 0").select("p_partkey", F.col("slot").cast("long").alias("slot"), F.round("value", 4).alias("value"))
 
 
 _DS = """d AS (SELECT c_custkey AS dataset_id, lower(c_mktsegment) || ' of ' || c_name AS title, coalesce(n, 0) * 20000 AS loaded, c_custkey % 6 AS dims, c_custkey % 320 + 5 AS props, coalesce(years, 0) AS years, c_mktsegment,

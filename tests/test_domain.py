@@ -70,3 +70,24 @@ def test_upsert_of_nothing(spark):
 def test_digits_of_longer_numbers_are_no_years(spark):
     r = one(spark, a=domain.years_in_text(F.lit("Supplier#000001990 kort")), b=domain.years_in_text(F.lit("19951 1995JJ00, 1992-1998 x2001")))
     assert (list(r.a), list(r.b)) == ([], [1995, 1992, 1998, 2001])
+
+
+def test_hash_vectors_by_the_definition(spark):
+    import hashlib
+
+    for text, slots in (("de kat", 64), ("a b c A b " * 50, 64), ("één 2", 16), ("", 8)):
+        want = [0] * slots
+        for t in text.lower().split():
+            h = hashlib.sha256(t.encode()).digest()
+            for k in range(8):
+                want[h[k] % slots] += -1 if h[k + 8] >= 128 else 1
+        norm = sum(x * x for x in want) ** 0.5 or 1.0
+        assert one(spark, v=domain.hash_embedding(F.lit(text), slots)).v == pytest.approx([round(x / norm, 6) for x in want], abs=1e-9)
+
+
+def test_hash_vectors_are_computed_once_and_in_many_tasks(spark):
+    from quaystat.operators.governance import hash_vectors
+
+    df = hash_vectors(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
