@@ -95,3 +95,13 @@ def test_levels(spark):
         "1": (["municipality", "province", "landsdeel"], ["municipality_year", "province_year", "landsdeel_year"]), "2": (["country"], ["country_year"]),
         "3": (["country"], ["country_year"]), "4": (["unknown", "neighborhood"], ["neighborhood_year", "unknown_year"]),
     }
+
+
+def test_first_rows_of_groups(spark):
+    rows = [("a", (k * 7919) % 5_000, k % 3) for k in range(5_000)] + [("b", k, 0) for k in range(7)] + [("c", 5, k) for k in range(300)] + [(None, k // 2, k) for k in range(500)] + [("d", None, k) for k in range(4)] + [("d", k, 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, k long, m int")
+    got = profiles.first_rows(df, "g", ["k", "m"], 10)
+    want = [r for g in ("a", "b", "c", None, "d") for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))[:10]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    near = got._jdf.queryExecution().optimizedPlan().toString()
+    assert near.index("Window [row_number") < near.index("least__")  # rows behind the bound are left out before they are sorted
