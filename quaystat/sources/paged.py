@@ -1,7 +1,7 @@
 """A data source of numbered JSON pages with a list of their bounds: `spark.read.format("paged").load(folder)`.
 
 The folder holds `page=N/` with JSON lines and `_index/`, a Parquet table of the pages with the rows and the least and greatest value of
-each column. A read is one task for each page that can hold wanted rows; what Spark pushes down and what the options ask for is
+each column. A read is one task for each page that can hold wanted rows, or for up to 64 of them where they are many; what Spark pushes down and what the options ask for is
 tested on the bounds first, then on the rows. Options:
 
 * `select`: the columns, comma-separated; others are not parsed
@@ -120,6 +120,20 @@ class Page(InputPartition):
     high: int | None = None
 
 
+#: A page is small, and a task of a Python source has a start of its own: more pages than tasks are read several by one.
+TASKS, PAGES_A_TASK = 128, 64
+
+
+@dataclass
+class Pages(InputPartition):
+    pages: list[Page]
+
+
+def packed(pages: list[Page]) -> list[Pages]:
+    n = max(1, min(PAGES_A_TASK, -(-len(pages) // TASKS)))
+    return [Pages(pages[k : k + n]) for k in range(0, len(pages), n)]
+
+
 class _Folder:
     """What both readers share."""
 
@@ -168,10 +182,14 @@ class _Folder:
         t = t.filter(all_of(span + [matches(x) for x in self.pushed]) & any_of([all_of([matches(x) for x in a]) for a in self.alternatives]))
         return t.select(self.schema.names).cast(self.schema).sort_by(ROW) if ROW in self.schema.names else t.sort_by(ROW).select(self.schema.names).cast(self.schema)
 
-    def read(self, page: Page | None) -> Iterator[pa.RecordBatch]:
+    def read(self, page: Page | Pages | None) -> Iterator[pa.RecordBatch]:
         """Also called without a page, where none is wanted."""
         if page is None:
             return
+        if isinstance(page, Pages):
+            for p in page.pages:
+                yield from self.read(p)
+            return
         if not self.follow:
             if (t := self.table(page)) is not None:
                 yield from t.to_batches()
@@ -191,8 +209,8 @@ class PagedReader(_Folder, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Page]:
-        return [Page(self.skip // self.page_rows, self.skip, self.end)] if self.follow else self.pages(self.skip, self.end)
+    def partitions(self) -> list[Page] | list[Pages]:
+        return [Page(self.skip // self.page_rows, self.skip, self.end)] if self.follow else packed(self.pages(self.skip, self.end))
 
 
 class PagedStream(_Folder, DataSourceStreamReader):
@@ -204,8 +222,8 @@ class PagedStream(_Folder, DataSourceStreamReader):
         last = max((v for v in top.to_pylist() if v is not None), default=-1) + 1
         return {"row": max(self.skip, last if self.end is None else min(last, self.end))}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        return self.pages(start["row"], end["row"]) if start["row"] < end["row"] else []
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        return packed(self.pages(start["row"], end["row"])) if start["row"] < end["row"] else []
 
     def commit(self, end: dict) -> None:
         pass

@@ -103,3 +103,11 @@ def test_stream_goes_on_behind_its_last_row(spark, tmp_path):
         with open(f, "w") as done:
             done.write("read before")
     assert run() == list(range(250))
+
+
+def test_many_pages_are_read_several_by_a_task():
+    pages = [paged.Page(k) for k in range(20_000)]
+    for n in (0, 1, 128, 129, 20_000):
+        got = paged.packed(pages[:n])
+        assert [p for t in got for p in t.pages] == pages[:n] and len(got) <= max(128, n / 64 + 1)
+    assert len(paged.packed(pages[:128])) == 128
