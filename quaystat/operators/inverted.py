@@ -1,20 +1,25 @@
 """A positional inverted index, and ranking by cover density on it.
 
 Postings are (term, document, field, positions), in buckets by term and sorted in them, so that a query reads the row groups of its
-terms and no document. Positions run on over the fields, as if their texts stood in a row.
+terms and no document. Positions run on over the fields, as if their texts stood in a row. A row holds the postings of one term
+and field in a block of documents: words are put in order where their texts lie, and only blocks are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quaystat.operators.search import TOKEN, parse_query, query_terms
 
 BUCKETS = 64
+#: Bytes of text in a block of documents, which ends with a whole document.
+BLOCK = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -40,7 +45,7 @@ class Index:
         """(term, document_id, field, positions) of the terms: their buckets are known here, so others are not listed."""
         own = sorted({r[0] for r in self.spark.range(1).select(F.explode(F.array(*(_bucket(F.lit(t), self.buckets) for t in terms)))).collect()}) if terms else [-1]
         p = self.spark.read.parquet(f"{self.path}/postings")
-        return p.filter(F.col("bucket").isin(*own) & F.col("term").isin(*terms)).select("term", "document_id", "field", "positions")
+        return p.filter(F.col("bucket").isin(*own) & F.col("term").isin(*terms)).select("term", "field", F.explode("places").alias("p")).select("term", "p.document_id", "field", "p.positions")
 
     def vocabulary(self) -> DataFrame:
         """(term, field, documents)."""
@@ -56,35 +61,114 @@ class Index:
         token = F.explode(F.array(*(F.lit(t) for t in tokens)).cast("array<string>"))
         words = self.vocabulary().filter(F.col("field").isin(*number)).select("term", "field", token.alias("token")).filter(F.contains("term", F.col("token")))
         words = words.withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        p = self.spark.read.parquet(f"{self.path}/postings").select("term", "field", "bucket", "document_id")
-        return p.join(words, ["bucket", "term", "field"]).select("document_id", "token").distinct()
+        p = self.spark.read.parquet(f"{self.path}/postings").select("term", "field", "bucket", F.col("places.document_id").alias("documents"))
+        return p.join(words, ["bucket", "term", "field"]).select(F.explode("documents").alias("document_id"), "token").distinct()
 
 
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _words(column: str, number: int) -> Column:
-    """The words of a field in their order, each with the field's number."""
-    cut = F.filter(F.split(F.lower(F.coalesce(F.col(column).cast("string"), F.lit(""))), TOKEN), lambda t: t != "")
-    return F.transform(cut, lambda t: F.struct(F.lit(number).alias("field"), t.alias("term")))
+def _words(column: str) -> Column:
+    """The words of a field in their order, between blanks."""
+    return F.regexp_replace(F.lower(F.coalesce(F.col(column).cast("string"), F.lit(""))), TOKEN, " ")
 
 
-def build(docs: DataFrame, path: str, id_col: str = "document_id", fields: tuple[Field, ...] = CATALOGUE_FIELDS, buckets: int = BUCKETS) -> Index:
+def _inverter(fields: int, block: int) -> Callable:
+    """Turns Arrow batches (document_id, text), sorted by id, into rows (term, field, documents, places) for each block of documents.
+
+    Words of the text stand between blanks, fields between line feeds that stand as words.
+    """
+
+    def invert(docs):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ids = docs.column(0).combine_chunks()
+        words = pc.split_pattern(docs.column(1).combine_chunks(), " ")
+        ends = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        code, terms = coded.indices.to_numpy(), coded.dictionary
+        bar = code == terms.index("\n").as_py()
+        real = ~bar & (code != terms.index("").as_py())
+        row = np.repeat(np.arange(len(ids)), np.diff(ends))
+        field = np.cumsum(bar) - row * (fields - 1)
+        before = np.concatenate(([0], np.cumsum(real)))
+        position = (before[:-1] - before[ends[:-1]][row])[real].astype(np.int32)
+        first = begins(ids)
+        doc = (np.cumsum(first) - 1)[row[real]]
+        key = code[real].astype(np.int64) * fields + field[real]
+        if first.all():  # words come by document and position
+            order = np.argsort(key, kind="stable")
+        else:  # and of documents with one id each position once
+            order = np.lexsort((position, doc, key))
+            k, d, p = key[order], doc[order], position[order]
+            order = order[np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])))[: len(order)]]
+        key, doc, position = key[order], doc[order], position[order]
+        if not len(key):
+            return None
+        posting = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+        own = key[posting]
+        entry = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        bounds = lambda starts, n: pa.array(np.append(starts, n).astype(np.int32))
+        places = [ids.take(pa.array(np.flatnonzero(first)[doc[posting]])), pa.ListArray.from_arrays(bounds(posting, len(key)), pa.array(position))]
+        listed = pa.ListArray.from_arrays(bounds(entry, len(posting)), pa.StructArray.from_arrays(places, ["document_id", "positions"]))
+        term, number = np.divmod(own[entry], fields)
+        count = np.diff(np.append(entry, len(posting))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([terms.take(pa.array(term)), pa.array(number.astype(np.int32)), pa.array(count), listed], ["term", "field", "documents", "places"])
+
+    def begins(ids):  # noqa: ANN001, ANN202
+        """Whether a row's id is not that of the row before; null is an id like others."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        a, b = ids[1:], ids[:-1]
+        none = pc.not_equal(pc.is_null(a), pc.is_null(b))
+        return np.concatenate(([True], pc.or_(pc.fill_null(pc.not_equal(a, b), False), none).to_numpy(zero_copy_only=False)))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            starts = np.flatnonzero(begins(t.column(0).combine_chunks()))
+            size = pc.binary_length(t.column(1).combine_chunks()).to_numpy().astype(np.int64)
+            number = (np.cumsum(size) - size)[starts] // block
+            cuts = [0, *starts[1:][number[1:] != number[:-1]].tolist()]
+            for i, j in zip(cuts, cuts[1:]):
+                if (out := invert(t.slice(i, j - i))) is not None:
+                    yield out
+            held = t.slice(cuts[-1])  # the block, and its last document, may go on
+        if held is not None and (out := invert(held)) is not None:
+            yield out
+
+    return run
+
+
+def build(docs: DataFrame, path: str, id_col: str = "document_id", fields: tuple[Field, ...] = CATALOGUE_FIELDS, buckets: int = BUCKETS, block: int = BLOCK) -> Index:
     """Writes the index of the documents' fields.
 
-    A null field has no words. Documents that share an id are one: their positions are those of either. Ranges of (bucket, term,
-    document) are the tasks of the write, so that a term of very many documents is written by several.
+    A null field has no words. Documents that share an id are one: their positions are those of either. Texts are dealt out by id, blocks
+    of postings by bucket; a bucket of very many blocks is written by several tasks.
     """
     spark = docs.sparkSession
-    words = [_words(f.column, k) for k, f in enumerate(fields)]
-    place = docs.select(F.col(id_col).alias("document_id"), F.posexplode(F.concat(*words)).alias("position", "w"))
-    postings = place.groupBy(F.col("w.term").alias("term"), "document_id", F.col("w.field").alias("field")).agg(F.sort_array(F.collect_set("position")).alias("positions"))
-    postings = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
-    postings.repartitionByRange("bucket", "term", "document_id").sortWithinPartitions("bucket", "term", "document_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    text = docs.select(F.col(id_col).alias("document_id"), *(F.col(f.column).alias(f"f{k}") for k, f in enumerate(fields)))
+    text = text.repartition("document_id").sortWithinPartitions("document_id")
+    text = text.select("document_id", F.concat_ws(" \n ", *(_words(f"f{k}") for k in range(len(fields)))).alias("text"))
+    place = StructType([StructField("document_id", text.schema["document_id"].dataType), StructField("positions", ArrayType(IntegerType()))])
+    row = StructType([StructField("term", StringType()), StructField("field", IntegerType()), StructField("documents", IntegerType()), StructField("places", ArrayType(place))])
+    postings = text.mapInArrow(_inverter(len(fields), block), row).withColumn("bucket", _bucket(F.col("term"), buckets))
+    postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").parquet(f"{path}/postings")
     index = Index(spark, path, fields, buckets)
     stored = spark.read.parquet(f"{path}/postings")
-    stored.groupBy("term", "field").agg(F.count("*").alias("documents")).write.parquet(f"{path}/vocabulary")
+    stored.groupBy("term", "field").agg(F.sum("documents").alias("documents")).write.parquet(f"{path}/vocabulary")
     return index
 
 

@@ -87,3 +87,22 @@ def test_search_by_the_index(spark, tmp_path):
     assert {r.document_id: (round(r.cover, 9), r.any_hit, round(r.lexical_score, 9), r.terms) for r in words.collect()} == want
     top = hybrid_search(docs, query, None, synonyms, words=words, limit=50).collect()
     assert top and all(abs(r.lexical_score - want[r.document_id][2]) < 1e-6 for r in top)
+
+
+def test_rows_are_blocks_of_documents(spark, tmp_path):
+    """One term's postings are few rows, and versions of a document are one, also where they are many."""
+    rows = [(k % 90 if k % 3 else None, f"the {'a b' if k % 2 else 'b, a'} x{k % 7}", "The end") for k in range(600)] + [(7, None, None), (400, "", "--"), (401, "a\nb", "\n")]
+    df = spark.createDataFrame(rows, "id long, a string, b string").repartition(5)
+    want = {}
+    for i, a, b in rows:
+        words = [(f, t) for f, x in enumerate((a, b)) for t in tokens(x)]
+        for p, (f, t) in enumerate(words):
+            want.setdefault((t, i, f), set()).add(p)
+    for block, most in ((1 << 20, 4), (200, 600)):
+        path = str(tmp_path / str(block))
+        idx = inverted.build(df, path, "id", (inverted.Field("a", 1.0), inverted.Field("b", 0.5)), buckets=3, block=block)
+        got = idx.postings(sorted({t for t, _, _ in want})).collect()
+        assert {(r.term, r.document_id, r.field): r.positions for r in got} == {k: sorted(v) for k, v in want.items()} and len(got) == len(want)
+        assert {(r.term, r.field): r.documents for r in idx.vocabulary().collect()} == {(t, f): sum((t, f) == (u, g) for u, _, g in want) for t, _, f in want}
+        stored = spark.read.parquet(f"{path}/postings").filter("term = 'the' and field = 0").count()
+        assert 0 < stored <= most and (block > 200 or stored > 4)
