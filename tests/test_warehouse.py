@@ -72,6 +72,33 @@ def test_rollup_modes(spark):
         profiles.fact_rollup(spark.range(1), spark.range(1), "wild")
 
 
+def test_rollup_query_reads_every_fact(spark):
+    """Each depth that looks at facts has all of each data set, in the code and in its SQL; no row is numbered or left out."""
+    got = warehouse.fact_rollup_modes(spark, DATA)
+    rows = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet").count()
+    seen = {(r.profile_depth, r.dataset_code): r.n for r in got.filter("profile_depth <> 'metadata_only'").groupBy("profile_depth", "dataset_code").agg(F.sum("fact_rows").alias("n")).collect()}
+    depths = {d for d, _ in seen}
+    assert depths and seen == {(d, s): n for d in depths for s, n in (("ORDERS", rows("orders")), ("LINEITEM", 2 * rows("lineitem")))}
+    assert "Window" not in plan_of(got) and "Limit" not in plan_of(got) and "row_number" not in warehouse.ORACLES["fact_rollup_modes"]
+
+
+def test_rollup_query_knows_no_year_of_facts_without_date(spark, tmp_path):
+    for name in ("customer", "lineitem", "nation", "region", "orders"):
+        df = spark.read.parquet(f"{DATA}/{name}.parquet")
+        df = df.withColumn("o_orderdate", F.lit(None).cast(df.schema["o_orderdate"].dataType)) if name == "orders" else df
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = warehouse.fact_rollup_modes(spark, str(tmp_path)).select("profile_depth", "dataset_code", "min_year", "max_year").collect()
+    assert {(r.min_year, r.max_year) for r in got if r.dataset_code == "ORDERS" and r.profile_depth != "metadata_only"} == {(None, None)}
+    assert {(r.min_year, r.max_year) for r in got if r.profile_depth == "metadata_only"} == {(0, 0)} and all(r.min_year for r in got if r.dataset_code == "LINEITEM" and r.profile_depth == "fact_profiled")
+
+
+def test_sampled_rollup_takes_the_first_rows_of_each_data_set(spark):
+    cells = [(s, "m", k, 2000 + k, "municipality", "year", float(k), False) for s in ("A", "B") for k in range(9, -1, -1)]
+    f = spark.createDataFrame(cells, "dataset_code string, measure_code string, observation_key long, calendar_year long, geography_type string, period_type string, value double, is_missing boolean")
+    got = profiles.fact_rollup(f, None, "sampled", 3).collect()
+    assert sorted((r.dataset_code, r.min_year, r.max_year, r.fact_rows, r.max_value, r.profile_depth) for r in got) == [(s, 2000, 2002, 3, 2.0, "sample_profiled") for s in ("A", "B")]
+
+
 def test_qualification_falls_back_for_large_data_sets(spark):
     cells = [("A", "m", 2000 + k % 3, "municipality", "year", 1.0, False) for k in range(6)] + [("B", "m", 2000, None, "", 1.0, False), ("B", "m", 2001, "", None, 1.0, False), ("B", "n", 2001, "province", "quarter", None, False), ("C", "m", 2000, "municipality", "year", 1.0, True)]
     f = spark.createDataFrame(cells, "dataset_code string, measure_code string, calendar_year long, geography_type string, period_type string, value double, is_missing boolean")
